@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import duplicates, encoding, languages, leaks, mixture, pieces, sentences, tokens
+from ..session import stage_table
+from . import duplicates, encoding, languages, leaks, mixture, pieces, pii, sentences, tokens
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,6 +43,20 @@ def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentences(table(spark, sf, "documents"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs, windows = table(spark, sf, "documents"), table(spark, sf, "text_windows")
+    lexicon = pii.learn_names(docs)
+    spans = stage_table(pii.find_spans(docs, lexicon).where("size(spans) > 0"), "spans")
+    in_docs = spans.select(F.lit("documents").alias("found_in"), F.col("doc_id").alias("row_id"), F.explode("spans").alias("s")).select("found_in", "row_id", "s.*")
+    in_windows = pii.window_spans(windows, docs, spans, lexicon, pieces.locate_windows(windows, docs))
+    return in_docs.unionByName(in_windows.select(F.lit("text_windows").alias("found_in"), F.col("window_id").alias("row_id"), "start_char", "end_char", "pii_type"))
+
+
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return pii.redact(docs, pii.learn_names(docs), b"key of the tests")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.duplicate_members(table(spark, sf, "documents"))
 
@@ -83,7 +98,7 @@ def p9_repaired(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_languages, p2_found, p2_tolerant, p3_found, p3_sentences, p5_found, p5_copies, p6_found, p6_pieces, p7_ids, p8_found, p8_mixture, p9_found, p9_repaired)
+    for f in (p1_found, p1_languages, p2_found, p2_tolerant, p3_found, p3_sentences, p4_found, p4_redacted, p5_found, p5_copies, p6_found, p6_pieces, p7_ids, p8_found, p8_mixture, p9_found, p9_repaired)
 }
 
 #: Results that plain SQL can give on whole tables.
