@@ -1,6 +1,8 @@
-"""Queries of the core operators, filled by the modules of ``plans``."""
+"""All queries of the core."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans import audit, evaluate, mixtures, relational, screen, spans, streams, texts  # noqa: F401  (they register themselves)
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
