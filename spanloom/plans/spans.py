@@ -258,3 +258,56 @@ def reconcile_label_map(t):
 def rare_label_collapse(t):
     g = gold(t).where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return tagset.collapse_rare(g, g.sparkSession.createDataFrame(FOREST, "node string, parent string"), 300)
+
+
+@query()
+def rule_scan(t):
+    """Matches of the default rules with offsets in code points."""
+    from ..operators import rules
+
+    return rules.scan(t("documents"), rules.DEFAULT_RULES, "doc_id", "raw_text")
+
+
+@query()
+def rule_scores(t):
+    from ..operators import rules
+
+    return rules.scores(rules.scan(t("documents"), rules.DEFAULT_RULES, "doc_id", "raw_text"))
+
+
+def _record_rules(t):
+    from ..operators import rules
+
+    return rules.scan(texts(t), rules.DEFAULT_RULES, "doc", "text")
+
+
+@query()
+def rule_arbitration(t):
+    from ..operators import rules
+
+    return rules.arbitrate(gold(t), _record_rules(t), "skip")
+
+
+@query()
+def rule_detail(t):
+    from ..operators import rules
+
+    return rules.attach_detail(gold(t).where("label is not null"), _record_rules(t))
+
+
+@query()
+def rule_completion(t):
+    from ..operators import rules
+
+    source = texts(t).select("doc", F.split_part("doc", F.lit("/"), F.lit(1)).alias("source"))
+    return rules.complete(gold(t), _record_rules(t), source)[1]
+
+
+@query("SELECT pmod_bucket AS part, count(*) AS n FROM (SELECT length(text) % 8 AS pmod_bucket FROM documents WHERE length(text) >= 4) GROUP BY 1")
+def texts_with_postings(t):
+    """Texts that have postings, by their length modulo 8."""
+    from ..sources.files import postings
+
+    d = t("documents")
+    ids = postings(d, "doc_id", "text", (4,)).select(F.col("id").alias("doc_id")).distinct()
+    return d.join(ids, "doc_id", "left_semi").groupBy((F.length("text") % 8).alias("part")).agg(F.count(F.lit(1)).alias("n"))
