@@ -19,13 +19,16 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .sampling import bounded_sample
 
 #: Texts that the cost model is fitted on (the bound of its sample), taken by hash over the whole table.
 FIT_TEXTS = 5_000
 LAYERS = 3
 #: Cost that a repair must save: in all, and for each character it changes.
 SAVED, SAVED_EACH = 6.0, 0.5
+#: Part of the dearest cost that a text in scripts of other than Latin letters must reach for each character to be looked at.
+STRANGE = 0.5
 #: What a character that comes out as lost counts against a repair.
 LOST = 6.0
 
@@ -115,7 +118,10 @@ def _letters_changed(old: str, new: str, latin: bool) -> bool:
         for k, (a, b) in enumerate(zip(old, new)):
             if a != b:
                 beside = (k > 0 and (old[k - 1].isalpha() or old[k - 1] > "\x7f")) or (k < last and (old[k + 1].isalpha() or old[k + 1] > "\x7f"))
-                good, bad = (good + 1, bad) if beside and (b.isalpha() or b in "’‘“”–—…") else (good, bad + 1)
+                if beside and (b.isalpha() or b in "’‘“”–—…"):
+                    good += 1
+                elif beside or not b.isalpha():
+                    bad += 1
         return good > 4 * bad
     letters = sum([c.isalpha() for c in new])
     kept = sum([c.isalpha() for c in new if c < "\x80"])
@@ -211,15 +217,18 @@ class Repairer:
             if len(self.fixes) > 50_000:
                 self.fixes.clear()
             known, cost, n = [], self.model.of(part), sum([c > "\x7f" for c in part])
+            strange = cost > STRANGE * self.model.dearest * len(part)
             narrow = _NARROW.search(_QUIET.sub("", part)) if runs is not self.words else None
             plain = sum([c.isalpha() for c in part if c < "\x80"]) > 0.4 * (n + 1)
             for k, (name, run) in enumerate(runs):
                 if (runs is self.latin_pieces or runs is self.other_pieces) and not (narrow and plain == (runs is self.latin_pieces)):
                     break
+                if not strange and (runs is self.other_pieces or runs is self.lines and name.split()[2] in WIDE_READ or runs is self.pieces and not plain):
+                    continue
                 if runs is self.lines and (plain or not narrow) and name.split()[2] not in WIDE_READ:
                     continue
                 new = run(part)
-                if new is not None and new != part:
+                if new is not None and new != part and not (plain and new.count("\ufffd") > part.count("\ufffd")):
                     gain = cost - self.model.of(new) - LOST * max(0, new.count("\ufffd") - part.count("\ufffd"))
                     if gain > SAVED_EACH * n:
                         known.append((k, new, gain))
@@ -256,9 +265,8 @@ class Repairer:
 
 
 def fit(texts: DataFrame, text_col: str = "text", bound: int = FIT_TEXTS) -> CostModel:
-    """Cost model of at most ``bound`` distinct texts, by hash; texts that the first model repairs are left out of the second."""
-    t = texts.select(F.col(text_col).alias("t")).where("t is not null and t <> ''")
-    sample = sorted({r[0] for r in t.orderBy(F.xxhash64("t")).limit(bound).collect()})
+    """Cost model of about ``bound`` texts, by hash of the row; texts that the first model repairs are left out of the second."""
+    sample = sorted({r[0] for r in bounded_sample(texts, bound, text_col).select(text_col).collect()})
     first = Repairer(CostModel(sample))
     return CostModel([s for s in sample if not first.repair(s)[1]])
 
