@@ -10,12 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams
+from ..session import stage_table
 
 ORDERS = (3, 4, 5, 6)
+_WORDS = regex.compile(r"[\p{L}\p{M}\p{Nd}]+").findall
 
 
 def gram_counts(df: DataFrame, id_col: str, text_col: str, orders: tuple[int, ...] = ORDERS) -> DataFrame:
@@ -60,8 +64,10 @@ def rare_gram_candidates(queries: DataFrame, corpus: DataFrame, n: int = 6, rare
 
     Both sides have (id, text); within one table, grams that only the query itself has don't count. Document frequencies are those of the corpus; equal texts are added whatever their rank.
     """
-    gram = lambda t: t.where("text is not null").select("id", F.explode(F.array_distinct(char_ngrams(F.col("text"), n))).alias("g"))
-    q, c = gram(queries), gram(corpus)
+    gram = lambda t: t.where("text is not null").select("id", F.explode(F.array_distinct(F.transform(char_ngrams(F.col("text"), n), lambda x: F.xxhash64(x)))).alias("g"))
+    q = gram(queries)
+    # grams that no query has are dropped before anything is counted or shuffled twice
+    c = gram(corpus).join(q.select("g").distinct(), "g", "left_semi")
     df = c.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("id").orderBy("df", "g")
     chosen = q.join(df.where(F.col("df") > int(within)), "g").withColumn("r", F.row_number().over(w)).where(F.col("r") <= rare)
@@ -85,6 +91,27 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, within: bool
     return rank_neighbours(chrf(pairs, queries, corpus), k, "chrf", "a_in_b")
 
 
+def _shingle_sets(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, key, set): sorted distinct hashes of the word shingles of each text with a word, and a digest of the set."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, keys, flat, ends = [], [], [], [0]
+            for k, t in enumerate(b.column(1).to_pylist()):
+                w = _WORDS(t.lower()) if t else []
+                if w:
+                    s = np.unique(np.array([xxhash.xxh3_64_intdigest(" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))], np.uint64)).view(np.int64)
+                    keep.append(k)
+                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    flat.append(s)
+                    ends.append(ends[-1] + len(s))
+            sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(keys, pa.binary()), sets], ["id", "key", "set"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, key binary, set array<bigint>")
+
+
 def shingle_links(df: DataFrame, id_col: str, text_col: str, words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, jaccard) of all texts whose sets of word shingles are ``least`` alike or more, and members (id, rep).
 
@@ -92,19 +119,24 @@ def shingle_links(df: DataFrame, id_col: str, text_col: str, words: int = 5, lea
     Two sets that are alike share one of their rarest shingles, the first (1 - least) * size + 1 in the order of frequency;
     sizes must fit as well. No pair is lost and no partner is capped. Texts shorter than a shingle have their words as one.
     """
-    token = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{M}\p{Nd}]+"), lambda w: w != "")
-    cut = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - words + 1)), lambda k: F.xxhash64(F.array_join(F.slice(t, k, F.lit(words)), " ")))
-    sets = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), token.alias("t")).where(F.size("t") > 0).select("id", F.array_sort(F.array_distinct(cut(F.col("t")))).alias("set"))
-    keyed = sets.withColumn("key", F.sha2(F.array_join(F.transform("set", lambda x: x.cast("string")), ","), 256))
+    keyed = stage_table(_shingle_sets(df, id_col, text_col, words), "shingles")
     reps = keyed.groupBy("key").agg(F.min("id").alias("rep"))
     members = keyed.select("id", "key").join(reps, "key").select("id", "rep")
     rep_sets = keyed.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "set", F.size("set").alias("n"))
     one = rep_sets.select("id", "n", F.explode("set").alias("g"))
     freq = one.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     r = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
-    prefix = one.join(freq.where("df > 1"), "g", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("r", r).where(F.col("r") <= F.floor(F.round((1 - least) * F.col("n"), 9)) + 1).where("df > 1")
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
-    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
+    ranked = one.join(freq.where("df > 1"), "g", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("r", r).where("df > 1")
+    head = lambda part: F.col("n") - F.ceil(F.round(part * F.col("n"), 9)) + 1
+    # the smaller set of a pair shares one of its first (1 - 2 least / (1 + least)) parts with the first (1 - least) of the larger
+    small = ranked.where(F.col("r") <= head(2 * least / (1 + least))).select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), "g")
+    large = ranked.where(F.col("r") <= head(least)).select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("ry"), "g")
+    order = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    need = F.ceil(F.round(F.lit(least / (1 + least)) * (F.col("nx") + F.col("ny")), 9))
+    # and what follows the first shared place must be enough to reach the overlap that is needed
+    room = 1 + F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry"))
+    met = small.join(large, "g").where(order & (F.col("nx") >= least * F.col("ny")) & (room >= need))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     s = rep_sets.select("id", "set", "n")
     j = pairs.join(s.select(F.col("id").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na")), "a").join(s.select(F.col("id").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
