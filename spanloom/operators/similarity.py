@@ -184,21 +184,48 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def lsh_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, bits: int = 6, tables: int = 24, seed: int = 7, dim: int = 64) -> DataFrame:
-    """(a, b, cosine, rank) among rows that share the signs of ``bits`` random projections in any of the tables; every row is indexed."""
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
+#: Rows that the centroids of an index are fitted on (the bound of the sample), and centroids.
+FIT_VECTORS, CENTROIDS = 4_096, 64
+
+
+def fit_centroids(corpus: DataFrame, count: int = CENTROIDS, bound: int = FIT_VECTORS, seed: int = 0, steps: int = 12) -> np.ndarray:
+    """Unit centroids by spherical k-means over about ``bound`` rows, chosen by the hash of their id."""
+    rows = corpus.where("v is not null")
+    n = rows.count()
+    if n > bound:
+        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+    m = _unit(np.array([r[0] for r in rows.orderBy("id").select("v").collect()], np.float64))
+    if not len(m):
+        return np.zeros((1, 1))
+    c = m[np.random.default_rng(seed).choice(len(m), min(count, len(m)), replace=False)]
+    for _ in range(steps):
+        near = (m @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, m)
+        c = _unit(np.where(np.bincount(near, minlength=len(c))[:, None] > 0, sums, c))
+    return c
+
+
+def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, probes: int = CENTROIDS // 2, centroids: np.ndarray | None = None) -> DataFrame:
+    """(a, b, cosine, rank) by an index of lists: every row of the corpus lies in the list of its nearest centroid, and a query is met by the lists of its ``probes`` nearest ones.
+
+    The queries are what is repeated, once per probe, so the corpus moves once however many lists are probed.
+    """
+    sent = queries.sparkSession.sparkContext.broadcast(fit_centroids(corpus) if centroids is None else centroids)  # CENTROIDS vectors
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = _unit(np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1))
-            keys = ((np.einsum("tbd,nd->ntb", planes, v) > 0) * (1 << np.arange(bits))).sum(2) + np.arange(tables) * (1 << bits)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["id", "v", "keys"])
-
-    schema = "id bigint, v array<float>, keys array<bigint>"
-    q = queries.where("v is not null").select(F.col("id").cast("bigint"), "v").mapInArrow(sign, schema).select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode("keys").alias("key"))
-    c = corpus.where("v is not null").select(F.col("id").cast("bigint"), "v").mapInArrow(sign, schema).select(F.col("id").alias("b"), F.col("v").alias("vb"), F.explode("keys").alias("key"))
-    pairs = q.join(c, "key").where("a <> b").dropDuplicates(["a", "b"])
+    def place(most: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                v = _unit(np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1))
+                near = np.argsort(-(v @ sent.value.T), axis=1, kind="stable")[:, :most] if b.num_rows else np.empty((0, 1), np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, max(1, near.shape[1])), pa.int32()), pa.array(near.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["id", "v", "lists"])
+
+        return run
+
+    schema = "id bigint, v array<float>, lists array<bigint>"
+    placed = lambda t, most, i, v: t.where("v is not null").select(F.col("id").cast("bigint"), "v").mapInArrow(place(most), schema).select(F.col("id").alias(i), F.col("v").alias(v), F.explode("lists").alias("list"))
+    pairs = placed(queries, probes, "a", "va").join(placed(corpus, 1, "b", "vb"), "list").where("a <> b")
     return rank_neighbours(pairs.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine")), k, "cosine")
 
 

@@ -41,14 +41,14 @@ def cosine_topk(t):
 @query()
 def ann_topk(t):
     v = _vectors(t)
-    return sim.lsh_topk(_asked(v), v)
+    return sim.ann_topk(_asked(v), v)
 
 
 @query()
 def ann_recall(t):
     """Recall of the hashed index against the exact neighbours of the stated queries."""
     v = _vectors(t)
-    return sim.recall(sim.lsh_topk(_asked(v), v), sim.cosine_topk(_asked(v), v))
+    return sim.recall(sim.ann_topk(_asked(v), v), sim.cosine_topk(_asked(v), v))
 
 
 @query(f"""WITH {_GRAMS}, p AS (SELECT a.item_id AS a, b.item_id AS b, a.text AS ta, b.text AS tb FROM eval_items a JOIN eval_items b ON a.lang = b.lang AND a.item_id < b.item_id),

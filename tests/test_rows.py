@@ -79,7 +79,7 @@ def test_cosine_and_hashed_search(spark):
     np.fill_diagonal(s, -2)
     exact = sim.cosine_topk(df.where("id % 10 = 0"), df, 1)
     assert {r["a"]: r["b"] for r in exact.collect()} == {k: int(s[k].argmax()) for k in range(0, 200, 10)}
-    found = sim.lsh_topk(df.where("id % 10 = 0"), df, 1)
+    found = sim.ann_topk(df.where("id % 10 = 0"), df, 1)
     assert sim.recall(found, exact).first()["recall"] >= 0.9
 
 
