@@ -262,13 +262,18 @@ class Repairer:
                 for k, (changes, gain) in total.items():
                     if gain > best[1] + 1e-9:
                         best, name = (changes, gain, pattern), runs[k][0]
+                if runs is self.words and best[1] >= SAVED and not any([self._odd(w) for w in _WORD.findall(self._apply(text, *best))]):
+                    break  # nothing odd is left
             if best[1] < SAVED:
                 break
-            changes = best[0]
-            text = best[2].sub(lambda m: changes.get(m.group(), m.group()), text)
+            text = self._apply(text, *best)
             undone.append(name)
         return text, undone
 
+    @staticmethod
+    def _apply(text: str, changes: dict[str, str], gain: float, pattern: regex.Pattern) -> str:
+        return pattern.sub(lambda m: changes.get(m.group(), m.group()), text)
+
 
 def fit(texts: DataFrame, text_col: str = "text", bound: int = FIT_TEXTS) -> CostModel:
     """Cost model of about ``bound`` texts, by hash of the row; texts that the first model repairs are left out of the second."""
