@@ -113,3 +113,88 @@ def trim_edges(text: Column, s: Column, e: Column) -> Column:
     lead = F.length(inside) - F.length(F.regexp_replace(inside, r"^\s+", ""))
     tail = F.length(inside) - F.length(F.regexp_replace(inside, r"\s+$", ""))
     return F.when(lead + tail < e - s, F.struct((s + lead).alias("s"), (e - tail).alias("e")))
+
+
+def layers(array_col: str) -> Column:
+    """Spans of an array with the number of the first layer where they overlap nothing placed before, in order of start, then length: overlapping annotation as flat views."""
+    ordered = F.array_sort(F.filter(F.transform(F.coalesce(F.col(array_col), F.array()), lambda x: F.struct(x["start_char"].alias("s"), (-x["end_char"]).alias("k"), x["label"].alias("label"))), lambda x: -x["k"] > x["s"]))
+    empty = F.expr("named_struct('ends', cast(array() as array<int>), 'out', cast(array() as array<struct<s:int,e:int,label:string,layer:int>>))")
+
+    def step(acc: Column, x: Column) -> Column:
+        free = F.array_position(F.transform(acc["ends"], lambda e: (e <= x["s"]).cast("int")), 1).cast("int")
+        layer = F.when(free > 0, free - 1).otherwise(F.size(acc["ends"]))
+        ends = F.when(free > 0, F.transform(acc["ends"], lambda e, i: F.when(i == free - 1, -x["k"]).otherwise(e))).otherwise(F.concat(acc["ends"], F.array(-x["k"])))
+        return F.struct(ends.alias("ends"), F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), (-x["k"]).alias("e"), x["label"].alias("label"), layer.alias("layer")))).alias("out"))
+
+    return F.aggregate(ordered, empty, step, lambda acc: acc["out"])
+
+
+def best_schedule(spans: list[tuple[int, int, float]]) -> list[int]:
+    """Indexes of non-overlapping spans (s, e, score) of the greatest summed score."""
+    from bisect import bisect_right
+
+    order = sorted(range(len(spans)), key=lambda k: (spans[k][1], spans[k][0], k))
+    ends = [spans[k][1] for k in order]
+    best: list[float] = [0.0]
+    take: list[bool] = []
+    for i, k in enumerate(order):
+        s, _, score = spans[k]
+        with_k = score + best[bisect_right(ends, s, 0, i)]
+        take.append(with_k > best[i])
+        best.append(max(best[i], with_k))
+    out, i = [], len(order)
+    while i:
+        if take[i - 1]:
+            out.append(order[i - 1])
+            i = bisect_right(ends, spans[order[i - 1]][0], 0, i - 1)
+        else:
+            i -= 1
+    return sorted(out)
+
+
+def schedule(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
+    """(doc, s, e, label, score) of the best non-overlapping spans of each row's array of scored spans."""
+    import pyarrow as pa
+
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            at, rows = [], []
+            for k, spans in enumerate(b.column(1).to_pylist()):
+                good = [x for x in spans or [] if x["start_char"] is not None and x["end_char"] is not None and x["end_char"] > x["start_char"]]
+                for i in best_schedule([(x["start_char"], x["end_char"], x["score"] or 0.0) for x in good]):
+                    at.append(k)
+                    rows.append((good[i]["start_char"], good[i]["end_char"], good[i]["label"], good[i]["score"]))
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.float64())))], ["doc", "s", "e", "label", "score"])
+
+    return df.select(id_col, array_col).mapInArrow(run, f"doc {kind}, s int, e int, label string, score double")
+
+
+def occurrences(texts: DataFrame, surfaces: DataFrame, id_col: str, text_col: str, most_surfaces: int = 100_000) -> DataFrame:
+    """(doc, s, e, surface) of all occurrences, overlapping ones too, of a bounded set of surfaces, found in one pass by an automaton over all of them."""
+    import ahocorasick
+    import pyarrow as pa
+
+    words = [r[0] for r in surfaces.select("surface").where("surface <> ''").distinct().limit(most_surfaces + 1).collect()]
+    if len(words) > most_surfaces:
+        raise ValueError(f"more than {most_surfaces} surfaces; join their n-grams instead")
+    sent = texts.sparkSession.sparkContext.broadcast(sorted(words))
+    kind = texts.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        machine = ahocorasick.Automaton()
+        for w in sent.value:
+            machine.add_word(w, w)
+        machine.make_automaton()
+        for b in batches:
+            at, rows = [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                for end, w in machine.iter(t) if t and len(machine) else ():
+                    at.append(k)
+                    rows.append((end + 1 - len(w), end + 1, w))
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), y) for c, y in zip(cols, (pa.int32(), pa.int32(), pa.string())))], ["doc", "s", "e", "surface"])
+
+    return texts.select(id_col, text_col).mapInArrow(run, f"doc {kind}, s int, e int, surface string")

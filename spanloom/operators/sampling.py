@@ -97,3 +97,42 @@ def group_split(df: DataFrame, stratum: str, group: str, size: str, fraction: fl
     g = g.withColumn("_miss", F.abs(F.col("_run") - fraction * F.sum("n").over(all_)))
     best = F.min(F.when((F.col("k") < F.col("_count")) | (F.col("_count") == 1), F.struct(F.round("_miss", 9).alias("m"), F.col("k").alias("k")))).over(all_)
     return g.select(stratum, group, (F.col("k") <= best["k"]).alias("in_first"))
+
+
+def carried_draw(df: DataFrame, expected: str, epoch: int, key: Column) -> DataFrame:
+    """Rows with ``draws`` in the given epoch (from 0): credit is carried over, so that after every epoch the sum of draws is the whole part of what was expected so far, with a start between 0 and 1 from the key's hash."""
+    u = hash_unit(key)
+    so_far = lambda n: F.floor(F.round(F.col(expected) * n + u, 9))
+    return df.withColumn("draws", (so_far(epoch + 1) - so_far(epoch)).cast("bigint"))
+
+
+def floor_weights(mass: dict[str, float], floors: dict[str, float], rounds: int = 100) -> tuple[dict[str, float], list[str]]:
+    """Factors by label that lift the labels with a floor exactly to their share of the total and scale the others down alike, and the labels whose floor can't be met. Works on the masses of labels."""
+    total = sum(mass.values())
+    lifted: set[str] = set()
+    for _ in range(rounds):
+        rest = total - sum(floors[g] * total for g in lifted)
+        others = sum(m for g, m in mass.items() if g not in lifted)
+        scale = rest / others if others else 0.0
+        low = {g for g in floors if g in mass and g not in lifted and mass[g] > 0 and mass[g] * scale < floors[g] * total - 1e-12}
+        if not low:
+            break
+        lifted |= low
+    missing = sorted(g for g in floors if not mass.get(g)) + ([] if sum(floors[g] for g in lifted) <= 1 else sorted(lifted))
+    rest = max(0.0, total - sum(floors[g] * total for g in lifted))
+    others = sum(m for g, m in mass.items() if g not in lifted)
+    return {g: floors[g] * total / m if g in lifted else (rest / others if others else 0.0) for g, m in mass.items() if m > 0}, missing
+
+
+def neighbour_mean(ranked: DataFrame, by: str, order: str, weight: str, value: str, k: float) -> DataFrame:
+    """(by, mean): mean of the value over the nearest rows until their weights fill k places, the last one in part."""
+    before = F.coalesce(F.sum(weight).over(Window.partitionBy(by).orderBy(F.desc(order), value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    part = F.greatest(F.lit(0.0), F.least(F.col(weight), F.lit(float(k)) - F.col("_before")))
+    return ranked.withColumn("_before", before).withColumn("_part", part).groupBy(by).agg((F.sum(F.col("_part") * F.col(value)) / F.sum("_part")).alias("mean"))
+
+
+def support_deficits(examples: DataFrame, cells: DataFrame, keys: list[str], surface: str, group: str, least: int, least_groups: int) -> DataFrame:
+    """Required cells (keys) that have fewer examples' surfaces or groups than asked; cells without any example are kept."""
+    n = examples.groupBy(*keys).agg(F.count(F.lit(1)).alias("examples"), F.count_distinct(surface).alias("surfaces"), F.count_distinct(group).alias("groups"))
+    j = cells.join(n, keys, "left").na.fill(0, ["examples", "surfaces", "groups"])
+    return j.where((F.col("surfaces") < least) | (F.col("groups") < least_groups)).withColumn("missing", F.greatest(F.lit(0), F.lit(least) - F.col("surfaces")))

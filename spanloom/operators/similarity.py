@@ -206,7 +206,7 @@ def fit_centroids(corpus: DataFrame, count: int = CENTROIDS, bound: int = FIT_VE
     return c
 
 
-def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, probes: int = CENTROIDS // 2, centroids: np.ndarray | None = None) -> DataFrame:
+def ann_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, probes: int = 40, centroids: np.ndarray | None = None) -> DataFrame:
     """(a, b, cosine, rank) by an index of lists: every row of the corpus lies in the list of its nearest centroid, and a query is met by the lists of its ``probes`` nearest ones.
 
     The queries are what is repeated, once per probe, so the corpus moves once however many lists are probed.

@@ -105,3 +105,35 @@ def exposure_gaps(t):
 def hash_shuffle_head(t):
     """A deterministic shuffle, of which the first 100 are wanted."""
     return t("documents").select("doc_id", F.sha2(F.concat(F.lit("7:"), F.col("doc_id").cast("string")), 256).alias("place")).orderBy("place").limit(100)
+
+
+@query(f"SELECT doc_id, (floor(round(0.3 * 5 + {_U.format(k='doc_id::VARCHAR')}, 9)) - floor(round(0.3 * 4 + {_U.format(k='doc_id::VARCHAR')}, 9)))::BIGINT AS draws FROM documents")
+def carried_draw(t):
+    d = t("documents").select("doc_id", F.lit(0.3).alias("x"))
+    return sampling.carried_draw(d, "x", 4, F.col("doc_id").cast("string")).select("doc_id", "draws")
+
+
+@query()
+def label_floors(t):
+    """Factors that lift languages to a floor of the mass; a loop on a small table."""
+    mass = {r[0]: float(r[1]) for r in _weighted(t).groupBy(F.coalesce("lang", F.lit("")).alias("g")).agg(F.sum("w")).collect()}
+    factors, missing = sampling.floor_weights(mass, {"ko": 0.05, "th": 0.05, "sv": 0.01})
+    spark = t("mix_targets").sparkSession
+    return spark.createDataFrame([(g, f, g in missing) for g, f in sorted(factors.items())] or [("", 1.0, False)], "lang string, factor double, unattainable boolean")
+
+
+@query("""WITH r AS (SELECT user_id, value, event_id, 1.5 AS w, coalesce(sum(1.5) OVER (PARTITION BY user_id ORDER BY value DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM events), p AS (SELECT *, greatest(0, least(w, 5 - b)) AS part FROM r)
+SELECT user_id, round(sum(part * event_id) / sum(part), 6) AS mean FROM p GROUP BY user_id""")
+def neighbour_mean(t):
+    e = t("events").select("user_id", "value", F.col("event_id").cast("double").alias("event_id"), F.lit(1.5).alias("w"))
+    return sampling.neighbour_mean(e, "user_id", "value", "w", "event_id", 5).withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH e AS (SELECT lang, x.label AS label, substring(text, x.start_char + 1, x.end_char - x.start_char) AS surface, corpus FROM (SELECT lang, text, corpus, unnest(spans) AS x FROM canonical_records WHERE text IS NOT NULL)),
+c AS (SELECT * FROM (VALUES ('en'), ('de'), ('sv')) a(lang), (VALUES ('person_name'), ('city'), ('organization_name')) b(label)), n AS (SELECT lang, label, count(*) AS examples, count(DISTINCT surface) AS surfaces, count(DISTINCT corpus) AS "groups" FROM e GROUP BY lang, label)
+SELECT lang, label, coalesce(examples, 0) AS examples, coalesce(surfaces, 0) AS surfaces, coalesce("groups", 0) AS "groups", greatest(0, 40 - coalesce(surfaces, 0)) AS missing FROM c LEFT JOIN n USING (lang, label) WHERE coalesce(surfaces, 0) < 40 OR coalesce("groups", 0) < 3""")
+def support_deficits(t):
+    x = t("canonical_records").where("text is not null").select("lang", "text", "corpus", F.explode("spans").alias("x"))
+    e = x.select("lang", F.col("x.label").alias("label"), F.substring(F.col("text"), F.col("x.start_char") + 1, F.col("x.end_char") - F.col("x.start_char")).alias("surface"), "corpus")
+    cells = e.sparkSession.createDataFrame([(a, b) for a in ("en", "de", "sv") for b in ("person_name", "city", "organization_name")], "lang string, label string")
+    return sampling.support_deficits(e, cells, ["lang", "label"], "surface", "corpus", 40, 3)

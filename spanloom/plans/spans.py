@@ -311,3 +311,21 @@ def texts_with_postings(t):
     d = t("documents")
     ids = postings(d, "doc_id", "text", (4,)).select(F.col("id").alias("doc_id")).distinct()
     return d.join(ids, "doc_id", "left_semi").groupBy((F.length("text") % 8).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def flat_views(t):
+    """Overlapping spans in layers; a span's layer depends on those placed before it."""
+    return t("canonical_records").where("spans is not null").select("id", F.explode(iv.layers("spans")).alias("x")).select("id", "x.*")
+
+
+@query()
+def best_schedules(t):
+    return iv.schedule(t("predictions"), "id", "preds")
+
+
+@query("WITH s AS (SELECT unnest(['archive', 'file', 'Unser Archiv', '文書', 'Archiv']) AS surface) SELECT surface, count(*) AS docs FROM s JOIN documents ON contains(text, surface) GROUP BY surface")
+def surface_occurrences(t):
+    d = t("documents")
+    s = d.sparkSession.createDataFrame([(x,) for x in ("archive", "file", "Unser Archiv", "文書", "Archiv")], "surface string")
+    return iv.occurrences(d, s, "doc_id", "text").select("doc", "surface").distinct().groupBy("surface").agg(F.count(F.lit(1)).alias("docs"))
