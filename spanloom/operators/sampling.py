@@ -56,21 +56,42 @@ def capped_weights(df: DataFrame, group: str, weight: str, caps: dict[str, float
     return df.join(table, F.coalesce(F.col(group), F.lit("")) == F.col("_g"), "left").withColumn("capped", F.col(weight) * F.coalesce("_f", F.lit(1.0))).drop("_g", "_f")
 
 
+#: Width of the stretches of an order column within which running sums are taken in one task.
+STRETCH = 1 << 14
+
+
+def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str = "running", stretch: int = STRETCH) -> DataFrame:
+    """Rows with the running sum of a value by an integer column with distinct values, within the groups.
+
+    Two levels: sums by stretch of the order column are summed up first, a small table, and rows are ordered within their
+    stretch only, so a hot group is spread over as many tasks as it has stretches.
+    """
+    d = df.withColumn("_k", F.floor(F.col(order) / stretch))
+    sums = d.groupBy(*by, "_k").agg(F.sum(value).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.withColumn("_before", before).drop("_s")
+    match = F.lit(True)
+    for c in [*by, "_k"]:
+        match = match & F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}"))
+    j = d.alias("d").join(starts.alias("t"), match).select("d.*", "t._before")
+    w = Window.partitionBy(*by, "_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return j.withColumn(name, F.col("_before") + F.sum(value).over(w)).drop("_k", "_before")
+
+
 def systematic_draw(df: DataFrame, by: list[str], order: str, weight: str, step: float, start: float = 0.5) -> DataFrame:
     """Rows with ``draws``: how many points start*step, (start+1)*step, ... fall in the row's stretch of the running weight, within the groups."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.sum(weight).over(w)
     count = lambda x: F.floor(F.round(x / step - start, 9)) + 1
-    return df.withColumn("draws", (count(run) - count(run - F.col(weight))).cast("bigint"))
+    r = running_sum(df, by, order, weight, "_run")
+    return r.withColumn("draws", (count(F.col("_run")) - count(F.col("_run") - F.col(weight))).cast("bigint")).drop("_run")
 
 
 def ordered_prefix(df: DataFrame, by: list[str], order: str, length: str, fraction: float) -> DataFrame:
     """Rows with ``taken``: the prefix of each group whose summed length comes closest to the fraction of all; ties go to the shorter."""
-    w = Window.partitionBy(*by).orderBy(order)
-    total = F.sum(length).over(Window.partitionBy(*by))
-    j = df.withColumn("_run", F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_miss", F.abs(F.col("_run") - fraction * total))
-    cutoff = F.min(F.struct(F.round("_miss", 9), F.col("_run"))).over(Window.partitionBy(*by))
-    return j.withColumn("taken", F.col("_run") <= cutoff["_run"]).drop("_run", "_miss")
+    r = running_sum(df, by, order, length, "_run")
+    total = r.groupBy(*by).agg(F.sum(length).alias("_total"))
+    miss = F.round(F.abs(F.col("_run") - fraction * F.col("_total")), 9)
+    stop = r.join(total, by).groupBy(*by).agg(F.min(F.struct(miss.alias("m"), F.col("_run").alias("stop"))).alias("x")).select(*by, F.col("x.stop").alias("_stop"))
+    return r.join(stop, by).withColumn("taken", F.col("_run") <= F.col("_stop")).drop("_run", "_stop")
 
 
 def weighted_choice(df: DataFrame, by: list[str], key: Column, weight: str, k: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ rank are the retrieval's own definition; equal texts are always candidates, what
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,13 +130,15 @@ def shingle_links(df: DataFrame, id_col: str, text_col: str, words: int = 5, lea
     ranked = one.join(freq.where("df > 1"), "g", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("r", r).where("df > 1")
     head = lambda part: F.col("n") - F.ceil(F.round(part * F.col("n"), 9)) + 1
     # the smaller set of a pair shares one of its first (1 - 2 least / (1 + least)) parts with the first (1 - least) of the larger
-    small = ranked.where(F.col("r") <= head(2 * least / (1 + least))).select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), "g")
-    large = ranked.where(F.col("r") <= head(least)).select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("ry"), "g")
+    # sizes that can go together lie in the same class or the one below, so a frequent shingle meets within classes only
+    size = F.floor(F.log("n") / F.lit(-math.log(least)) + 1e-9)
+    small = ranked.where(F.col("r") <= head(2 * least / (1 + least))).select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), "g", size.alias("c"))
+    large = ranked.where(F.col("r") <= head(least)).select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("ry"), "g", F.explode(F.array(size - 1, size)).alias("c"))
     order = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     need = F.ceil(F.round(F.lit(least / (1 + least)) * (F.col("nx") + F.col("ny")), 9))
     # and what follows the first shared place must be enough to reach the overlap that is needed
     room = 1 + F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry"))
-    met = small.join(large, "g").where(order & (F.col("nx") >= least * F.col("ny")) & (room >= need))
+    met = small.join(large, ["g", "c"]).where(order & (F.col("nx") >= least * F.col("ny")) & (room >= need))
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     s = rep_sets.select("id", "set", "n")
     j = pairs.join(s.select(F.col("id").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na")), "a").join(s.select(F.col("id").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb")), "b")

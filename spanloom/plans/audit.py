@@ -108,11 +108,12 @@ def power_histogram(t):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, round(avg(value), 6) AS mean, max(CASE WHEN k = floor(n * 0.5)::BIGINT THEN value END) AS p50, max(CASE WHEN k = least(n - 1, floor(n * 0.9)::BIGINT) THEN value END) AS p90, max(value) AS top FROM r GROUP BY event_type""")
 def latency_stats(t):
-    """Quantiles by the element of a rank; ranks come from a sort within the groups, which Spark may spill."""
+    """Quantiles by the element of a rank, from the counts of distinct values, so that no group's rows are gathered."""
+    c = t("events").where("value is not null").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("event_type")
-    r = t("events").where("value is not null").withColumn("k", F.row_number().over(w.orderBy("value", "event_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    at = lambda q: F.max(F.when(F.col("k") == F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col("value")))
-    return r.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("value").alias("top"))
+    r = c.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
+    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col("value")))
+    return r.groupBy("event_type").agg(F.round(F.sum(F.col("value") * F.col("c")) / F.sum("c"), 6).alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("value").alias("top"))
 
 
 @query("WITH s AS (SELECT lang, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM documents WHERE text IS NOT NULL GROUP BY lang), r(lang, floor) AS (VALUES ('en', 0.2), ('de', 0.05), ('ko', 0.05), ('sv', 0.01)) SELECT r.lang, coalesce(n, 0) AS n, coalesce(share, 0) >= floor AS supported FROM r LEFT JOIN s USING (lang)")

@@ -108,6 +108,18 @@ def test_systematic_draw_counts(spark):
     assert got == {1: 1, 2: 2, 3: 1, 4: 2}
 
 
+def test_running_sums_over_stretches(spark):
+    rows = [(k, "hot" if k % 3 else None, float(k % 7)) for k in range(0, 3000, 2)]
+    df = spark.createDataFrame(rows, "id bigint, g string, w double")
+    got = {r["id"]: r["running"] for r in sampling.running_sum(df, ["g"], "id", "w", stretch=64).collect()}
+    run = {}
+    for k, g, w in rows:
+        run[g] = run.get(g, 0.0) + w
+        assert got[k] == pytest.approx(run[g])
+    taken = sampling.ordered_prefix(df.where("g = 'hot'"), ["g"], "id", "w", 0.5).where("taken").count()
+    assert 450 < taken < 550
+
+
 def test_group_split_keeps_groups_whole(spark):
     df = spark.createDataFrame([("s", f"g{k}", 1.0) for k in range(10)] + [("t", "only", 1.0)], "st string, gr string, n double")
     got = sampling.group_split(df, "st", "gr", "n", 0.8).collect()
