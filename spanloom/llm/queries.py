@@ -78,7 +78,9 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).where("short").select("source")
+    # the size of a source counts its labelled documents alone, so only they take part
+    labelled = table(spark, sf, "documents").where("source is not null")
+    return mixture.mix(labelled, table(spark, sf, "mix_targets")).where("short").select("source")
 
 
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
