@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 SEPARATORS = (
     regex.compile(r"(?:\r?\n|\r)[^\S\r\n]*(?:(?:\r?\n|\r)[^\S\r\n]*){2,}|\f|(?:\r?\n|\r)(?=#{1,6} )|(?:\r?\n|\r)[-=*_]{3,}[^\S\r\n]*(?:\r?\n|\r)"),
     regex.compile(r"(?:\r?\n|\r)[^\S\r\n]*(?:\r?\n|\r)\s*"),
-    regex.compile(r"(?:\r?\n|\r)|[.!?…]+[\"'”’»)\]]*\s+(?=[^\p{Ll}])|[。！？｡．؟۔।॥]+[」』”’»）)\]]*\s*"),
+    regex.compile(r"(?:\r?\n|\r)|(?<![.!?…])[.!?…]++[\"'”’»)\]]*+\s++(?=[^\p{Ll}])|[。！？｡．؟۔।॥]+[」』”’»）)\]]*\s*"),
     regex.compile(r"\s+"),
 )
 

@@ -297,3 +297,15 @@ def test_redaction(spark):
     number = regex.search(r"\[phone:(\S+)\]", got[1])[1]
     assert number != "0555-505-573" and number in got[2] and got[1].startswith("[person_name:") and got[3] is None and got[4] == "nothing"
     assert pii.learn_names(df.limit(0)).words == {}
+
+
+def test_long_texts_take_linear_time(costs):
+    import time
+
+    scanner = pii.Scanner(pii.lexicon_of(pii.name_counts(NAMES)))
+    reader = languages.LanguageReader(languages.fit_examples(CLEAN * 3, CLEAN * 3))
+    for t in ("." * 40_000, "x.y@z.test " * 4_000, "Ada Mensah " * 4_000, "(" * 40_000, "A. " * 13_000, "1 2" * 13_000, "的" * 40_000, "a-" * 20_000, "\n" * 40_000):
+        for f in (scanner.scan, reader.read, sentences.split_sentences, duplicates.leaves, lambda x: pieces.cut_points(x, 900, 120), encoding.Repairer(costs).repair):
+            began = time.time()
+            f(t)
+            assert time.time() - began < 20
