@@ -27,6 +27,8 @@ FIT_TEXTS = 5_000
 LAYERS = 3
 #: Cost that a repair must save: in all, and for each character it changes.
 SAVED, SAVED_EACH = 6.0, 0.5
+#: As before for repairs of single Latin letters, where rare foreign words must not pass for garbled ones.
+SAVED_EACH_LATIN = 3.0
 #: What a character that becomes a mark counts against a repair of Latin letters.
 MARK = 5.0
 #: Part of the dearest cost that a text in scripts of other than Latin letters must reach for each character to be looked at.
@@ -233,10 +235,11 @@ class Repairer:
                 if new is not None and new != part and not (plain and new.count("\ufffd") > part.count("\ufffd")):
                     if runs is self.latin_pieces:  # a letter that becomes a mark must have been dear
                         gain_less = MARK * sum([a != b and not b.isalpha() for a, b in zip(part, new)])
+                        least = SAVED_EACH_LATIN * sum([a != b for a, b in zip(part, new)])
                     else:
-                        gain_less = 0.0
+                        gain_less, least = 0.0, SAVED_EACH * n
                     gain = cost - self.model.of(new) - gain_less - LOST * max(0, new.count("\ufffd") - part.count("\ufffd"))
-                    if gain > SAVED_EACH * n:
+                    if gain > least:
                         known.append((k, new, gain))
             self.fixes[part, id(runs)] = known
         return known
