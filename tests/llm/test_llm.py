@@ -247,6 +247,14 @@ def test_language_paths(spark, costs):
     assert sorted(map(tuple, languages.mislabelled(got).select("doc_id", "seg_no", "lang").collect())) == [(2, 0, "en"), (3, 0, "de")]
 
 
+def test_short_garbled_stretches_of_long_texts_are_repaired(costs):
+    reader = languages.LanguageReader(languages.fit_examples(CLEAN * 3, CLEAN * 3), encoding.Repairer(costs))
+    garbled = CLEAN[4][1].encode("cp1251").decode("koi8-r")
+    for times in (1, 5, 40):
+        rest = " ".join([CLEAN[0][1]] * times)
+        assert [x for x, _ in reader.read(f"{rest}\n{garbled}\n{rest}")] == ["en", "ru", "en"]
+
+
 # ---- P4 ----
 
 NAMES = ["Dear Ada Mensah:\n\nHello.", "Dear Ada Mensah,\n\nHello.", "Contact: Bo Mensah", "Contact: Bo Okello", "Contact: Ada Okello", "Contact: Bo Okello"]
