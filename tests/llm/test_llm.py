@@ -255,6 +255,16 @@ def test_short_garbled_stretches_of_long_texts_are_repaired(costs):
         assert [x for x, _ in reader.read(f"{rest}\n{garbled}\n{rest}")] == ["en", "ru", "en"]
 
 
+def test_capitals_are_judged_by_stretch():
+    reader = languages.LanguageReader(languages.fit_examples(CLEAN * 3, CLEAN * 3))
+    ordinary, german = " ".join([CLEAN[0][1]] * 8), CLEAN[1][1]
+    for stretch in (german.upper(), german.swapcase(), german.upper().replace(" ", ". ")):
+        assert [x for x, _ in reader.read(f"{ordinary}\n\n{stretch}\n\n{ordinary}")] == ["en", "de", "en"]
+    head, names = "Office: Records Desk\n" * 40, "Our records desk returned Prüfung Beschwerde Telefon Einwohneramt Lärm the missing letter."
+    weights = [reader.clauses(f"{h}\n{ordinary} {names}")[0][-1] for h in ("", head)]
+    assert (weights[0] == weights[1]).all()
+
+
 # ---- P4 ----
 
 NAMES = ["Dear Ada Mensah:\n\nHello.", "Dear Ada Mensah,\n\nHello.", "Contact: Bo Mensah", "Contact: Bo Okello", "Contact: Ada Okello", "Contact: Bo Okello"]
