@@ -202,7 +202,7 @@ def lexicon_of(counts: dict[tuple[str, str], int], least: int = 2) -> Lexicon:
 
 
 def learn_names(docs: DataFrame, text_col: str = "raw_text") -> Lexicon:
-    """The lexicon of all documents; counted inside the partitions, summed by word. Words seen more than once in 100,000 documents come to the driver, which bounds their number."""
+    """The lexicon of all documents; counted inside the partitions, summed by word. Words seen twice or more come to the driver, whatever the size of the corpus, so that none is lost as it grows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -211,8 +211,7 @@ def learn_names(docs: DataFrame, text_col: str = "raw_text") -> Lexicon:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in n], pa.string()), pa.array([w for _, w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["kind", "word", "n"])
 
     summed = docs.select(text_col).mapInArrow(run, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    total = docs.count() // 100_000
-    return lexicon_of({(r[0], r[1]): r[2] for r in summed.where(F.col("n") >= 2 + total).collect()}, 2 + total)
+    return lexicon_of({(r[0], r[1]): r[2] for r in summed.where("n >= 2").collect()})
 
 
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")

@@ -310,7 +310,7 @@ def _counts(texts: list[str | None]) -> Counter:
 
 
 def corpus_evidence(docs: DataFrame, text_col: str = "raw_text") -> Evidence:
-    """Evidence over all documents: counted inside the partitions, summed by key. Only keys seen more often than once in 100,000 documents come to the driver, so their number is bounded by the length of a document."""
+    """Evidence over all documents: counted inside the partitions, summed by key. Keys seen twice or more come to the driver, whatever the size of the corpus; abbreviations from three telling uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -321,8 +321,7 @@ def corpus_evidence(docs: DataFrame, text_col: str = "raw_text") -> Evidence:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["kind", "key", "told", "n"])
 
     counts = docs.select(text_col).mapInArrow(run, "kind string, key string, told bigint, n bigint").groupBy("kind", "key").agg(F.sum("told").alias("told"), F.sum("n").alias("n"))
-    least = 2 + docs.count() // 100_000
-    rows = counts.where(f"n >= {least} and told > 0 and (kind <> 'abbr' or (told >= 3 and told >= 0.3 * n))").select("kind", "key", "told", "n").collect()
+    rows = counts.where("n >= 2 and told > 0 and (kind <> 'abbr' or (told >= 3 and told >= 0.3 * n))").select("kind", "key", "told", "n").collect()
     shares = {kind: {r[1]: r[2] / r[3] for r in rows if r[0] == kind} for kind in ("abbr", "first", "last")}
     return Evidence(shares["abbr"], frozenset(), shares["first"], shares["last"])
 

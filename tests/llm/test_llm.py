@@ -317,6 +317,16 @@ def test_redaction(spark):
     assert pii.learn_names(df.limit(0)).words == {}
 
 
+def test_rare_names_and_abbreviations_stay_in_large_corpora(spark):
+    few = spark.createDataFrame([("Dear Ada Mensah:\n\nHello.",)] * 2, "raw_text string")
+    thai = spark.createDataFrame([("สวัสดีครับ",)] * 2, "raw_text string")
+    many = spark.range(100_000).selectExpr("'nothing' as raw_text")
+    lexicon = pii.learn_names(few)
+    assert {"ada", "mensah"} <= lexicon.words.keys() and pii.learn_names(few.unionByName(many)) == lexicon
+    evidence = sentences.corpus_evidence(thai)
+    assert evidence.thai_first and sentences.corpus_evidence(thai.unionByName(many)) == evidence
+
+
 def test_long_texts_take_linear_time(costs):
     import time
 
