@@ -13,18 +13,17 @@ Defined results: null texts have no spans and stay null; spans are half-open cou
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_table
 from .pseudonyms import Pseudonyms
+from .wordfilter import WordFilter, filter_segments
 
 #: Telling places that a word of a name needs, at every size of the corpus.
 LEAST = 2
@@ -118,51 +117,13 @@ _TH = regex.compile(r"(?:คุณ|นพ\.|พญ\.)\s?(?P<g>\p{Thai}{2,10})\s(
 _COMMON = frozenset("the of and for to in on at by with from de la le les el los las der die das und von zu den dem van het een en da do dos das di del della il lo un una i w z na o a e y et est ist is was no not".split())
 
 
-class Lexicon:
-    """Words of names by class, as a Bloom filter of one size for every corpus, so that what workers hold doesn't grow with it.
-
-    Classes: g and s, given names and surnames in scripts with blanks; ja-f, ja-g, zh-f, zh-g, ko-f, ko-g, th-f, th-g,
-    family and given names in the others; town, words beside postcodes. With 2**BITS places and HASHES of them for each
-    word, 10 million words make under 1 in 200 other words pass for one, and a million under 1 in 10**6. No word is lost.
-    """
-
-    BITS, HASHES, SEGMENT = 27, 4, 20
-
-    def __init__(self, segments: Iterable[tuple[int, bytes]] = ()):
-        self.rows = np.zeros(1 << (self.BITS - 3), np.uint8)
-        width = 1 << (self.SEGMENT - 3)
-        for k, part in segments:
-            self.rows[k * width : (k + 1) * width] = np.frombuffer(part, np.uint8)
-        self.known: dict[tuple[str, str], bool] = {}
-        self.kinds: dict[str, str] = {}
-
-    @classmethod
-    def places(cls, kind: str, word: str) -> list[int]:
-        h = xxhash.xxh3_128_intdigest(f"{kind}|{word}")
-        return [(h >> (cls.BITS * k)) & ((1 << cls.BITS) - 1) for k in range(cls.HASHES)]
-
-    def has(self, kind: str, word: str) -> bool:
-        found = self.known.get((kind, word))
-        if found is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            found = self.known[kind, word] = all(self.rows[p >> 3] >> (p & 7) & 1 for p in self.places(kind, word))
-        return found
+class Lexicon(WordFilter):
+    """Words of names by class: g and s, given names and surnames in scripts with blanks; ja-f, ja-g, zh-f, zh-g, ko-f, ko-g,
+    th-f, th-g, family and given names in the others; town, words beside postcodes."""
 
     def kind(self, word: str) -> str:
         """g, s or nothing for a word in small letters."""
-        found = self.kinds.get(word)
-        if found is None:
-            if len(self.kinds) > 200_000:
-                self.kinds.clear()
-            found = self.kinds[word] = "g" if self.has("g", word) else "s" if self.has("s", word) else ""
-        return found
-
-    def __getstate__(self):
-        return self.rows
-
-    def __setstate__(self, rows) -> None:
-        self.rows, self.known, self.kinds = rows, {}, {}
+        return "g" if self.has("g", word) else "s" if self.has("s", word) else ""
 
 
 _TOWN = regex.compile(rf"(?:(?:lane|avenue|road|street|(?:st|ave|rd)\s?[.;]){C}(?P<a>\p{{L}}{{4,}})\s{{1,3}}\d{{5}}(?!\d)|,\s{{1,3}}(?:\d{{5}}|\d{{4}}\s?[a-z]{{2}}|\d\d-\d{{3}})\s{{1,3}}(?P<b>\p{{L}}{{4,}}))", regex.I)
@@ -232,25 +193,8 @@ def name_words(counts: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def lexicon_of(words: DataFrame) -> Lexicon:
-    """The filter of (kind, word): places are set by segment on the workers; the driver gets the filter's bytes, whatever the number of words."""
-    segment = (1 << Lexicon.SEGMENT) - 1
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.array([p for k, w in zip(*(c.to_pylist() for c in b.columns)) for p in Lexicon.places(k, w)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> Lexicon.SEGMENT).astype(np.int32)), pa.array((at & segment).astype(np.int32))], ["segment", "place"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for places in b.column(1):
-                bits = np.zeros(segment + 1, bool)
-                bits[places.values.to_numpy()] = True
-                out.append(np.packbits(bits, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["segment", "bits"])
-
-    places = words.select("kind", "word").mapInArrow(spread, "segment int, place int").groupBy("segment").agg(F.collect_set("place").alias("places"))  # at most 2**SEGMENT places
-    return Lexicon((r[0], bytes(r[1])) for r in places.mapInArrow(pack, "segment int, bits binary").collect())
+    """The filter of (kind, word)."""
+    return Lexicon(filter_segments(words))
 
 
 def learn_names(docs: DataFrame, text_col: str = "raw_text") -> Lexicon:

@@ -2,8 +2,8 @@
 
 A full stop is ambiguous: whether the word before it is an abbreviation is decided first by unambiguous occurrences in the
 same document (the word with a stop before a small letter, or without one), then by such occurrences over the whole corpus,
-then by fixed lists; whether a capitalised word after an abbreviation starts a sentence is decided by the word's small
-letters elsewhere in the document or corpus. Other scripts have terminators of their own. Thai, which has none, is cut at
+and by fixed lists only where both are silent or at odds; whether a capitalised word after an abbreviation starts a sentence
+is decided in the same order, by small letters elsewhere against capitals inside sentences, which tell proper names. Other scripts have terminators of their own. Thai, which has none, is cut at
 blanks between what the corpus shows at the ends and at the beginnings of paragraphs.
 
 Defined results: null and blank texts give no units; offsets are code points, half-open; units carry no white space and
@@ -15,13 +15,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+from .wordfilter import WordFilter, filter_segments
+
 # Abbreviations that always stand before something.
 BEFORE = frozenset(
     "mr mrs ms dr prof col gen lt capt sgt rev hon st messrs mx fig figs vol ch sec pp cf vs viz approx ca esp incl excl e.g i.e tel ext dept est "
@@ -39,7 +42,7 @@ BEFORE = frozenset(
 # Abbreviations that also end sentences.
 EITHER = frozenset(
     "etc p.m a.m inc ltd co corp plc jr sr u.s u.k u.n hosp ave rd blvd no al ff bros dec jan feb mar apr jun jul aug sep sept oct nov "
-    "usw u.a.m o.ä u.ä h v.h kg km cm mm ecc enz pct itd itp т.п т.д др г.г proc проц m p c n s b a v e u r l vacíos ed eds art sec rev p.s d.c e.v gmbh ag s.a n.v b.v спб млн тыс is in es not ok per".split()
+    "usw u.a.m o.ä u.ä h v.h kg km cm mm ecc enz pct itd itp т.п т.д др г.г proc проц ed eds art sec rev p.s d.c e.v gmbh ag s.a n.v b.v спб млн тыс".split()
 )
 # Words that begin sentences, where neither document nor corpus has them in small letters.
 OPENERS = frozenset("the we it this they he she in at on as for der die das es wir sie er le la les il nous el los lo una un een de het o os as um a on w i то это мы они в на".split())
@@ -50,7 +53,7 @@ _NL = r"(?>\r\n|\n|\r)"
 _INNER = rf"(?:[^\r\n{{}}]|{_NL}(?![^\S\r\n]*{_NL}))"
 _SET_IN = regex.compile(
     "|".join(
-        a + _INNER.replace("{}", not_) + "{0,400}?" + b
+        a + _INNER.replace("{}", not_) + "*?" + b
         for a, b, not_ in (
             ("“", "”", "“”"),
             ("„", "[“”]", "„“”"),
@@ -64,6 +67,9 @@ _SET_IN = regex.compile(
         )
     )
 )
+_SMALL = regex.compile(r"(?<![\p{L}\p{M}])\p{Ll}[\p{L}\p{M}]*")
+_CAPITAL = regex.compile(r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*")
+_INNER_CAPITAL = regex.compile(r"(?<=[\p{L}\p{M}\p{N}][,;]?[ \u00a0]|(?<!\p{L})\p{Lu}\.[ \u00a0])\p{Lu}[\p{Ll}\p{M}]+")
 _EMOJI = r"(?:(?:[^\S\r\n]*\p{Extended_Pictographic}[️‍\U0001f3fb-\U0001f3ff]*)(?<![\d#*]))"
 _MARKER = r"(?:[-–—•*·▪◦‣●○]|\d{1,2}[.)]|[a-z]\))[^\S\r\n]+"
 _CANDIDATE = regex.compile(
@@ -80,14 +86,10 @@ _THAI_GAP = regex.compile(r"(?<=\S)(?P<emoji>(?:[^\S\r\n]*\p{Extended_Pictograph
 _THAI = regex.compile(r"\p{Thai}")
 
 
-@dataclass
-class Evidence:
-    """What the corpus shows: abbreviations with the share of them before small letters, Thai beginnings and ends of paragraphs."""
-
-    abbreviations: dict[str, float] = field(default_factory=dict)
-    small: frozenset[str] = frozenset()
-    thai_first: dict[str, float] = field(default_factory=dict)
-    thai_last: dict[str, float] = field(default_factory=dict)
+class Evidence(WordFilter):
+    """What the corpus shows: before and either, abbreviations as they are written, by what follows them; ordinary, words
+    that are none; of words in small letters small, words that are not proper names, and proper, which are; first and last, what Thai
+    paragraphs begin and end with; seen, whether there is any of the last two."""
 
 
 NO_EVIDENCE = Evidence()
@@ -101,33 +103,72 @@ def _cjk(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or "０" <= c <= "９"
 
 
+#: Uses in the corpus that decide, the share of them before small letters that makes an abbreviation, and the smaller one of those that may end sentences as well.
+TOLD, BEFORE_SHARE, EITHER_SHARE = 3, 0.7, 0.3
+#: Uses without a stop, as a multiple of those with one, that make an ordinary word.
+BARE_TIMES = 3
+
+
+def _telling(small: int, capital: int) -> bool:
+    """Whether capitals set words apart in a text with so many words with and without one: not where all words have them, or hardly any."""
+    return 0.03 <= capital / max(1, small + capital) <= 0.7
+
+
 class _Document:
     def __init__(self, text: str, evidence: Evidence):
         self.text, self.evidence = text, evidence
-        self._small: set[str] | None = None
-
-    def abbreviation(self, word: str) -> str:
-        """'before', 'either' or '' for a word in front of a stop and something that isn't a small letter."""
+        self._words: tuple[set[str], set[str], bool] | None = None
+        self._uses: dict[str, tuple[bool, bool]] = {}
+
+    def words(self) -> tuple[set[str], set[str], bool]:
+        """Words in small letters, words with a capital after a small word, and whether capitals tell anything here."""
+        if self._words is None:
+            small = _SMALL.findall(self.text)
+            self._words = set(small), {w.lower() for w in _INNER_CAPITAL.findall(self.text)}, _telling(len(small), len(_CAPITAL.findall(self.text)))
+        return self._words
+
+    def uses(self, word: str) -> tuple[bool, bool]:
+        """Whether the document has the word with a stop where no sentence ends, and without a stop."""
+        if word not in self._uses:
+            w = regex.escape(word)
+            stopped = regex.search(rf"(?<![\w.]){w}\.[^\S\r\n]?(?:[,;:]|[^\S\r\n]?\p{{Ll}}\p{{L}})", self.text) is not None
+            self._uses[word] = stopped, regex.search(rf"(?<![\w.’'@-]){w}(?![\w.’'@-])", self.text) is not None
+        return self._uses[word]
+
+    def abbreviation(self, word: str, number_next: bool = False) -> str:
+        """'before', 'either' or '' for a word in front of a stop and something that isn't a small letter.
+
+        The document decides first: with stops inside sentences alone the word is an abbreviation, without any stop it is
+        none, unless a number follows. Where it is silent or at odds the corpus decides, and then the lists, which also
+        tell whether an abbreviation of the document can end a sentence.
+        """
         w = word.lower()
-        if w in EITHER:
-            return "either"
-        if w in BEFORE or (w.count(".") and len(w) <= 6 and all(len(p) <= 2 for p in w.split("."))):
-            return "before"
-        share = self.evidence.abbreviations.get(w, 0.0)
-        if share >= 0.7:
-            return "before"
-        if share >= 0.3:
-            return "either"
-        if len(w) <= 5 and regex.search(rf"(?<!\w){regex.escape(word)}\.[^\S\r\n]?(?:[,;:]|[^\S\r\n]\p{{Ll}})", self.text) and not regex.search(rf"(?<!\w){regex.escape(word)}(?![\w.])", self.text):
-            return "either"
-        return ""
+        inner = w.count(".") and len(w) <= 6 and all(len(p) <= 2 for p in w.split("."))
+        listed = "either" if w in EITHER else "before" if w in BEFORE or inner or w.endswith("str") else ""
+        forms = (word,) if self.words()[2] else (word, w, w.capitalize())
+        kind = next((k for k in ("before", "either") for f in forms if self.evidence.has(k, f)), listed)
+        if len(word) == 1 or inner:
+            return listed
+        stopped, bare = self.uses(word)
+        if stopped and not bare:
+            return listed or kind or ("either" if len(word) <= 5 else "")
+        if bare and not stopped and not number_next:
+            return ""
+        if self.evidence.has("ordinary", word) and not number_next and not stopped:
+            return ""
+        return listed if listed and kind == listed else kind
 
     def opens(self, word: str) -> bool:
-        """Whether a capitalised word is one that has small letters elsewhere."""
+        """Whether a capitalised word is no proper name: the document decides first, then the corpus, then the list."""
         w = word.lower()
-        if self._small is None:
-            self._small = set(regex.findall(r"(?<![\p{L}\p{M}])\p{Ll}[\p{L}\p{M}]*", self.text))
-        return w in self._small or w in self.evidence.small or w in OPENERS
+        small, names, telling = self.words()
+        if w in small:
+            return True
+        if w in OPENERS:
+            return True
+        if not telling or w in names or self.evidence.has("proper", w):
+            return False
+        return self.evidence.has("small", w)
 
     def ends(self, m: regex.Match, quoted: bool, start: int) -> bool:
         """Whether the terminator of m ends a sentence that began at start. quoted: a closed quotation or parenthesis ends here."""
@@ -183,8 +224,8 @@ class _Document:
             return not (len(word) <= 2 and not attached and follow_word.lower() in GERMAN_MONTHS)
         if len(word) == 1 and word.isupper() and _cased(word):
             # an initial; with the name before it, it may end a sentence
-            return bool(follow_word) and len(follow_word) > 1 and self.opens(follow_word) and word not in ("U",) and not (follow_word[0].isupper() and follow_word.lower() not in OPENERS and follow_word.lower() not in self._small)
-        kind = self.abbreviation(word)
+            return len(follow_word) > 1 and word != "U" and self.opens(follow_word)
+        kind = self.abbreviation(word, nxt.isdigit())
         if kind == "before":
             return False
         if kind == "either" or (len(word) == 1 and _cased(word)):
@@ -217,8 +258,7 @@ def _thai_key(chunk: str) -> str:
 def _thai_opens(right: str, evidence: Evidence) -> bool:
     if right.startswith(THAI_INNER):
         return False
-    share = evidence.thai_first.get(right[:6])
-    return share >= 0.02 if share is not None else not evidence.thai_first
+    return evidence.has("first", right[:6]) or not evidence.has("seen", "first")
 
 
 def _thai_closes(left: str, evidence: Evidence) -> bool:
@@ -227,8 +267,7 @@ def _thai_closes(left: str, evidence: Evidence) -> bool:
         return False
     if regex.search(r"[\d)”\"]$", chunk) or not _THAI.search(chunk):
         return True
-    share = evidence.thai_last.get(_thai_key(chunk)[-6:])
-    return share >= 0.02 if share is not None else not evidence.thai_last
+    return evidence.has("last", _thai_key(chunk)[-6:]) or not evidence.has("seen", "last")
 
 
 def split_sentences(text: str | None, evidence: Evidence = NO_EVIDENCE) -> list[tuple[int, int]]:
@@ -290,40 +329,63 @@ _STOP = regex.compile(r"(?<![\p{L}\p{M}\p{N}@_+-])([\p{L}\p{M}]{1,10}(?:\.[\p{L}
 _PARA = regex.compile(rf"{_NL}[^\S\r\n]*{_NL}\s*")
 
 
-def _counts(texts: list[str | None]) -> Counter:
-    """Counts by (kind, key, seen): how often key was there, and how often in the telling place."""
-    n: Counter = Counter()
-    for t in texts:
-        if not t:
-            continue
-        for w, c in _STOP.findall(t):
-            n["abbr", w.lower(), c.islower() or c in ",;:)" or c.isdigit()] += 1
-        if _THAI.search(t):
-            for p in _PARA.split(t):
-                chunks = [c for c in regex.split(r"\s+", _EDGE.sub("", p)) if c]
-                for k, c in enumerate(chunks):
-                    if _THAI.match(c):
-                        n["first", c[:6], k == 0] += 1
-                    if _THAI.search(c):
-                        n["last", _thai_key(c)[-6:], k == len(chunks) - 1] += 1
-    return n
+_SHORT = regex.compile(r"(?<![\p{L}\p{M}\p{N}@_+.’'-])([\p{L}\p{M}]{2,10})(?![\p{L}\p{M}\p{N}@_+.’'-])")
+#: Keys that a partition counts before it hands them on.
+COUNTED = 300_000
+
+
+def _count(n: Counter, t: str) -> None:
+    """Adds the counts of a text by (kind, key, seen): how often key was there, and how often in the telling place; words count once in a text, and only where capitals set them apart."""
+    small = _SMALL.findall(t)
+    if small and _telling(len(small), len(_CAPITAL.findall(t))):
+        stops = _STOP.findall(t)
+        for w, c in stops:
+            n["abbr", w, c.islower() or c in ",;:)" or c.isdigit() and _cased(w[0])] += 1
+        for w in set(small):
+            n["word", w, True] += 1
+        for w in {w.lower() for w in _INNER_CAPITAL.findall(t)}:
+            n["word", w, False] += 1
+        for w in set(_SHORT.findall(t)) - {w for w, _ in stops}:
+            n["bare", w, True] += 1
+    if _THAI.search(t):
+        for p in _PARA.split(t):
+            chunks = [c for c in regex.split(r"\s+", _EDGE.sub("", p)) if c]
+            for k, c in enumerate(chunks):
+                if _THAI.match(c):
+                    n["first", c[:6], k == 0] += 1
+                if _THAI.search(c):
+                    n["last", _thai_key(c)[-6:], k == len(chunks) - 1] += 1
 
 
 def corpus_evidence(docs: DataFrame, text_col: str = "raw_text") -> Evidence:
-    """Evidence over all documents: counted inside the partitions, summed by key. Keys seen twice or more come to the driver, whatever the size of the corpus; abbreviations from three telling uses."""
+    """Evidence over all documents: counted inside the partitions, summed by key, and put into a filter of fixed size. The same counts decide at every size of the corpus."""
+
+    def rows(n: Counter) -> pa.RecordBatch:
+        cols = list(zip(*[(k, key, v if told else 0, v) for (k, key, told), v in n.items()])) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["kind", "key", "told", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for b in batches:
-            n += _counts(b.column(0).to_pylist())
-        rows = [(k, key, v if told else 0, v) for (k, key, told), v in n.items()]
-        cols = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["kind", "key", "told", "n"])
+            for t in b.column(0).to_pylist():
+                if t:
+                    _count(n, t)
+                if len(n) > COUNTED:
+                    yield rows(n)
+                    n.clear()
+        yield rows(n)
 
     counts = docs.select(text_col).mapInArrow(run, "kind string, key string, told bigint, n bigint").groupBy("kind", "key").agg(F.sum("told").alias("told"), F.sum("n").alias("n"))
-    rows = counts.where("n >= 2 and told > 0 and (kind <> 'abbr' or (told >= 3 and told >= 0.3 * n))").select("kind", "key", "told", "n").collect()
-    shares = {kind: {r[1]: r[2] / r[3] for r in rows if r[0] == kind} for kind in ("abbr", "first", "last")}
-    return Evidence(shares["abbr"], frozenset(), shares["first"], shares["last"])
+    counts = stage_table(counts, "sentence_counts")
+    of = lambda kind: counts.where(F.col("kind") == kind)
+    share = F.col("told") / F.col("n")
+    abbr = of("abbr").join(of("bare").select("key", F.col("n").alias("bare")), "key", "left").withColumn("bare", F.coalesce("bare", F.lit(0)))
+    many = F.col("bare") >= BARE_TIMES * F.col("n")
+    stop = F.when((F.col("told") >= TOLD) & (share >= BEFORE_SHARE), "before").when((F.col("told") >= TOLD) & (share >= EITHER_SHARE), "either").when((F.col("bare") >= TOLD) & many & (share < EITHER_SHARE), "ordinary")
+    word = F.when((F.col("told") >= 2) & (2 * F.col("told") > F.col("n")), "small").when((F.col("n") >= 2) & (10 * F.col("told") <= F.col("n")), "proper")
+    edge = counts.where("kind in ('first', 'last') and told > 0 and n >= 2").where(share >= 0.02)
+    parts = [abbr.select(stop.alias("kind"), F.col("key").alias("word")), of("word").select(word.alias("kind"), F.col("key").alias("word")), edge.select("kind", F.col("key").alias("word")), edge.select(F.lit("seen"), "kind").distinct()]
+    return Evidence(filter_segments(reduce(DataFrame.union, parts).where("kind is not null")))
 
 
 def sentences(docs: DataFrame, evidence: Evidence | None = None, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:

@@ -126,6 +126,24 @@ def test_sentences(units, joint):
     assert cut(joint.join(units)) == units
 
 
+def test_the_document_decides_before_the_lists():
+    assert cut("The fig is ripe. Take a ripe fig. She likes it.") == ["The fig is ripe.", "Take a ripe fig.", "She likes it."]
+    assert cut("See fig. She drew it, cf. fig. and table.") == ["See fig. She drew it, cf. fig. and table."]
+    assert cut("No fig here. See fig. 3 of the paper.") == ["No fig here.", "See fig. 3 of the paper."]
+    long = "The clerk (" + "who came late. She said so. " * 40 + "and left) was there."
+    assert cut(long + " It ends.") == [long, "It ends."]
+
+
+def test_the_corpus_decides_where_the_document_is_silent(spark):
+    rows = ["Our quab. was late, and the quab. came to all. So it went."] * 4 + ["We know that zorin is small. The zorin was there with Mira Zorinda."] * 3
+    e = sentences.corpus_evidence(spark.createDataFrame([(t,) for t in rows], "raw_text string"))
+    assert e.has("before", "quab") and e.has("small", "zorin") and e.has("proper", "zorinda") and not e.has("small", "mira")
+    split = lambda t: [t[a:b] for a, b in sentences.split_sentences(t, e)]
+    assert split("A quab. Mira left.") == ["A quab. Mira left."]
+    assert split("It cost much etc. Zorin was the word we knew.") == ["It cost much etc.", "Zorin was the word we knew."]
+    assert split("It cost much etc. Zorinda was the one we knew.") == ["It cost much etc. Zorinda was the one we knew."]
+
+
 def test_sentence_edges(spark):
     assert cut("") == [] and cut(" \n ") == [] and cut("﻿One. Two.") == ["One.", "Two."]
     assert sentences.split_sentences(None) == []
@@ -337,7 +355,7 @@ def test_formats_and_checks_are_kept(name, value):
 def test_letters_go_and_country_codes_stay():
     p = pseudonyms.Pseudonyms(b"key")
     new = p.number("XXBQZW24A72Z726B")
-    assert new[:6] != "XXBQZW" and new[-1] != "B"
+    assert not set(zip(new[:6], range(6))) & set(zip("XXBQZW", range(6)))
     for v in ("+44 (0)1632 960119", "01632 960119", "(202) 555-0131 ext. 39", "00351 55 78 45 49", "+٩٩٩ ٥ ٥٥٥ ٤٧٧٩", "１－800-555-0176", "0", "12"):
         assert p.phone(p.phone(v), undo=True) == v
     assert p.phone("+44 (0)1632 960119").startswith("+44 (0)") and p.phone("+44 (0)1632 960119")[7:] == p.phone("01632 960119")[1:]
@@ -362,7 +380,7 @@ def test_rare_names_and_abbreviations_stay_in_large_corpora(spark):
     lexicon = pii.learn_names(few)
     assert lexicon.kind("ada") == "g" and lexicon.kind("mensah") == "s" and (pii.learn_names(few.unionByName(many)).rows == lexicon.rows).all()
     evidence = sentences.corpus_evidence(thai)
-    assert evidence.thai_first and sentences.corpus_evidence(thai.unionByName(many)) == evidence
+    assert evidence.has("seen", "first") and (sentences.corpus_evidence(thai.unionByName(many)).rows == evidence.rows).all()
 
 
 def test_long_texts_take_linear_time(costs, lexicon):
