@@ -97,15 +97,21 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(_docs(spark, sf, "doc_id", "text"))
 
 
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mix(_docs(spark, sf, "doc_id", "source", "text"), table(spark, sf, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    # the size of a source counts its labelled documents alone, so only they take part
-    labelled = table(spark, sf, "documents").where("source is not null")
-    return mixture.mix(labelled, table(spark, sf, "mix_targets")).where("short").select("source")
+    return _mixed(spark, sf)[1].where("short").select("source")
 
 
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    m = mixture.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
-    return m.select("source", "docs", "size", "target_share", "max_repeats", F.round("rate", 6).alias("rate"), F.round("actual_share", 6).alias("actual_share"), "short")
+    shares = ("rate", "expected_share", "drawn_share", "agreement", "residual")
+    return _mixed(spark, sf)[1].drop("mixed_tokens", "at_cap").withColumns({c: F.round(c, 6) for c in shares})
+
+
+def p8_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[0]
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +126,7 @@ def p9_repaired(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_languages, p2_found, p2_tolerant, p3_found, p3_sentences, p4_found, p4_redacted, p5_found, p5_copies, p6_found, p6_pieces, p7_ids, p8_found, p8_mixture, p9_found, p9_repaired)
+    for f in (p1_found, p1_languages, p2_found, p2_tolerant, p3_found, p3_sentences, p4_found, p4_redacted, p5_found, p5_copies, p6_found, p6_pieces, p7_ids, p8_found, p8_mixture, p8_drawn, p9_found, p9_repaired)
 }
 
 #: Results that plain SQL can give on whole tables.

@@ -192,14 +192,35 @@ def test_mixture_reaches_targets_or_caps(spark):
     rows = [(k, "big", "word " * 50) for k in range(20)] + [(100 + k, "small", "word " * 5) for k in range(2)] + [(200, None, "word word word"), (201, "other", "x"), (202, "big", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").selectExpr("*", "1 as size", "2 as rate")
     targets = spark.createDataFrame([("big", 0.5, 2), ("small", 0.4, 3), ("absent", 0.1, 5)], "source string, target_share double, max_repeats int")
-    m = mixture.mix(docs, targets)
-    got = {r["source"]: r for r in m.collect()}
+    mixed, report = mixture.mix(docs, targets)
+    got = {r["source"]: r for r in report.collect()}
     assert got["big"]["rate"] == pytest.approx(0.5 * (got["big"]["size"] + got["small"]["size"]) / got["big"]["size"], rel=0.05) and not got["big"]["short"]
     assert got["small"]["rate"] == pytest.approx(3) and got["small"]["short"] and got["absent"]["short"] and got["absent"]["size"] == 0
-    assert sum(r["actual_share"] for r in got.values()) == pytest.approx(1.0)
-    drawn = {r["doc_id"]: r["repeats"] for r in mixture.draw(docs.drop("rate"), m).collect()}
-    assert drawn[100] == 3 and 0 < sum(k < 20 for k in drawn) < 20
-    assert mixture.mix(docs.limit(0), targets).where("short").count() == 0
+    assert sum(r["expected_share"] for r in got.values()) == pytest.approx(1.0) and sum(r["drawn_share"] for r in got.values()) == pytest.approx(1.0)
+    drawn = {r["doc_id"]: r["repeats"] for r in mixed.collect()}
+    assert drawn[100] == 3 and 0 < sum(k < 20 for k in drawn) < 20 and 201 not in drawn
+    assert mixture.mix(docs.limit(0), targets)[1].where("short").count() == 0
+
+
+def test_posteriors_sum_to_one():
+    for n in (1, 10, 40):
+        t = mixture.LabelTable([f"s{k}" for k in range(n)], [])
+        assert t.posterior("some words here").sum() == pytest.approx(1) and t.posterior(None).sum() == pytest.approx(1)
+
+
+@needs_vocabulary
+def test_documents_without_labels_are_mixed_by_their_posteriors(spark):
+    rng = random.Random(5)
+    words = {"a": ["alder", "birch", "cedar", "larch"], "b": ["iron", "zinc", "lead", "tin"]}
+    text = lambda s: " ".join(rng.choice(words[s]) for _ in range(30))
+    rows = [(k, "a", text("a")) for k in range(300)] + [(1000 + k, "b", text("b")) for k in range(60)] + [(2000 + k, None, text("b")) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    mixed, report = mixture.mix(docs, targets)
+    got = {r["source"]: r for r in report.collect()}
+    for r in got.values():
+        assert r["expected_share"] == pytest.approx(0.5, abs=1e-6) and r["drawn_share"] == pytest.approx(r["expected_share"], abs=0.01) and r["residual"] < 1e-6 and r["agreement"] > 0.8
+    assert mixed.where("source is null").count() > 0
 
 
 # ---- P9, P1 ----
