@@ -48,7 +48,7 @@ class WordFilter:
 
 
 def filter_segments(words: DataFrame) -> list[tuple[int, bytes]]:
-    """Segments of the filter of (kind, word): places are set on the workers; the driver gets the filter's bytes, whatever the number of words."""
+    """Segments of the filter of (kind, word), binary words as their hex digits: places are set on the workers; the driver gets the filter's bytes, whatever the number of words."""
     segment = (1 << WordFilter.SEGMENT) - 1
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,5 +65,6 @@ def filter_segments(words: DataFrame) -> list[tuple[int, bytes]]:
                 out.append(np.packbits(bits, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["segment", "bits"])
 
-    places = words.select("kind", "word").mapInArrow(spread, "segment int, place int").groupBy("segment").agg(F.collect_set("place").alias("places"))  # at most 2**SEGMENT places
+    text = F.col("word") if dict(words.dtypes)["word"] == "string" else F.hex("word")
+    places = words.select("kind", text.alias("word")).mapInArrow(spread, "segment int, place int").groupBy("segment").agg(F.collect_set("place").alias("places"))  # at most 2**SEGMENT places
     return [(r[0], bytes(r[1])) for r in places.mapInArrow(pack, "segment int, bits binary").collect()]

@@ -49,6 +49,14 @@ def test_folding_and_forms():
     assert duplicates.leaves(swapped) != duplicates.leaves(a)
 
 
+def test_nested_records_and_short_forms():
+    same = lambda x, y: duplicates.root_digest(duplicates.leaves(x)) == duplicates.root_digest(duplicates.leaves(y))
+    assert same('{"a": {"x": 1, "y": ["p", "q r"]}, "b": "z"}', '{"B": "Z", "A": {"y": ["P", "Q R"], "x": 1}}')
+    assert not same('{"a": ["x", "y z"], "b": "c"}', '{"a": ["x y", "z"], "b": "c"}') and not same('{"a": ["x", "y"], "b": "c"}', '{"a": ["y", "x"], "b": "c"}')
+    assert same("Name: Ada Mensah\nDesk no 2: Ulvana", "desk no 2: ulvana | NAME: ada mensah") and same("A: one\nB: two\nC: three", "C: three; A: one; B: two")
+    assert not same("Name: Ada\nDesk: Bo", "Name: Bo\nDesk: Ada")
+
+
 def test_members_and_counts(spark):
     rows = [(5, "The quick brown fox jumps over it."), (3, "the QUICK brown fox, jumps over it"), (9, "The quick-brown fox jumps over it"), (4, "short"), (6, "SHORT"), (7, None), (8, ""), (10, "The quick brown fox jumped over it.")]
     df = spark.createDataFrame(rows, "doc_id bigint, raw_text string").selectExpr("*", "1 as root", "2 as rep", "3 as id", "'x' as leaves")
@@ -95,9 +103,29 @@ def test_leaks_equal_brute_force(spark):
     got = {(r["item_id"], r["doc_id"]) for r in leaks.leaked_items(d, i).collect()}
     assert got == brute(items, docs) and got
     assert leaks.leaked_items(d, i.limit(0)).count() == 0
+    found = lambda shares: {(r["item_id"], r["doc_id"]) for r in shares.collect()}
+    noisy = []
+    frame = i
+    for i, text, lang in items[:12]:
+        t = leaks.squeeze(text)
+        part = list(t[: 60 if i < 100 else 40])
+        for k in rng.sample(range(len(part)), len(part) // 10):
+            part[k] = "7"
+        noisy.append((5000 + i, word(30) + " ".join(part) + " " + t[60:] if i < 100 else "上国" * 9 + "".join(part)))
+    d3 = spark.createDataFrame(noisy, "doc_id bigint, raw_text string")
+    planted = set()
+    for i, text, lang in items[:12]:
+        x = leaks.SeedIndex([(i, text)], 50 if i < 100 else 20, leaks.MASKS if i < 100 else leaks.MASKS_CJK, True)
+        code = leaks._codes(leaks.squeeze(dict(noisy)[5000 + i]))
+        import numpy as np
+
+        if x.shares(0, code, np.arange(-len(x.codes[0]), len(code)))[0] >= 0.5:
+            planted.add((i, 5000 + i))
+    got = found(leaks.tolerant_overlaps(d3, frame))
+    assert len(got & planted) >= 0.9 * len(planted) > 0
     changed = items[0][1].replace(items[0][1][60], "z", 1).replace(items[0][1][110], "y", 1)
     d2 = spark.createDataFrame([(1, changed)], "doc_id bigint, raw_text string")
-    assert {(r["item_id"], r["doc_id"]) for r in leaks.tolerant_overlaps(d2, i).collect()} == {(0, 1)}
+    assert found(leaks.tolerant_overlaps(d2, frame)) == {(0, 1)}
 
 
 # ---- P3 ----
