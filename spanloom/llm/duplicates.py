@@ -70,7 +70,7 @@ def _fields(text: str) -> list[tuple[str, str]] | None:
     if body.count(":") + body.count("：") < MIN_FIELDS or not _FIELD3.match(body):
         return None
     for sep in _SEPARATORS:
-        found = [_FIELD3.match(p) for p in sep.split(body)]
+        found = [None if "\n" in p or "\r" in p else _FIELD3.match(p) for p in sep.split(body)]
         if len(found) >= MIN_FIELDS and all(found):
             return [(fold(m[1]), fold(m[2])) for m in found]
     for cut in _CUTS:
