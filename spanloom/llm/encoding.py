@@ -2,7 +2,9 @@
 
 A text is encoded again as it was wrongly decoded and decoded as it was meant; this is tried for pairs of encodings, and
 again on the result for nested layers. A repair is accepted where a garbling cost drops: the negative log share of texts
-that hold each pair of neighbouring characters, so that pairs no language writes are dear. UTF-8 sequences are repaired
+that hold each pair of neighbouring characters, so that pairs no language writes are dear; the shares are counted over the
+whole corpus. Decoding is strict; where bytes were lost on the way, so that it fails, a tolerant decoding is tried and the
+repair is marked "with losses". UTF-8 sequences are repaired
 word by word, so half-garbled texts and texts with lost bytes are repaired where they can be; the other encodings
 sentence by sentence.
 
@@ -19,11 +21,17 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..session import spread, stage_table
 from .sampling import bounded_sample
 
-#: Texts that the cost model is fitted on (the bound of its sample), taken by hash over the whole table.
+#: Texts whose repairs tell which pairs come from garbled texts (the bound of a sample by hash; the pairs themselves are counted over all texts).
 FIT_TEXTS = 5_000
+#: Share of texts that is added to that of each pair, and the share below which a pair costs what an unseen one does.
+UNSEEN, LEAST_SHARE = 4e-5, 1e-6
+#: Share of texts with a pair at which a word is worth a closer look.
+ODD_SHARE = 1 / 1200
 LAYERS = 3
 #: Cost that a repair must save: in all, and for each character it changes.
 SAVED, SAVED_EACH = 6.0, 0.5
@@ -83,18 +91,23 @@ _QUIET = regex.compile(r"[\u2000-\u206f\u00a0\u3000\ufeff«»¿¡。、，：；
 class CostModel:
     """Cost of neighbouring characters, from the share of texts that hold them."""
 
-    def __init__(self, texts: Iterable[str]):
-        seen: Counter[str] = Counter()
-        n = 0
-        for t in texts:
-            t = self.plain(t)
-            seen.update({a + b for a, b in zip(t, t[1:])})
-            n += 1
-        self.dearest = math.log(max(1, n) / 0.2)
-        self.cost = {k: self.dearest - math.log((v + 0.2) / 0.2) for k, v in seen.items() if v > 1}
+    def __init__(self, shares: dict[str, float]):
+        self.dearest = -math.log(UNSEEN)
+        self.cost = {k: -math.log(v + UNSEEN) for k, v in shares.items()}
         self.blocks = {ord(c) >> 7 for k in self.cost for c in k}
-        # a pair that about one text in 1,200 holds, or fewer, makes a word worth a closer look
-        self.odd = self.dearest - math.log((max(2.0, n / 1200) + 0.2) / 0.2) - 1e-9
+        self.odd = -math.log(ODD_SHARE + UNSEEN) - 1e-9
+
+    @classmethod
+    def of_texts(cls, texts: Iterable[str]) -> CostModel:
+        """Model of a list of texts; pairs that one text alone has count as unseen."""
+        texts = list(texts)
+        seen = Counter(p for t in texts for p in cls.pairs(t))
+        return cls({k: v / len(texts) for k, v in seen.items() if v > 1})
+
+    @classmethod
+    def pairs(cls, text: str) -> set[str]:
+        t = cls.plain(text)
+        return {a + b for a, b in zip(t, t[1:])}
 
     @staticmethod
     def plain(text: str) -> str:
@@ -192,7 +205,10 @@ class Repairer:
         def one(text: str) -> str | None:
             try:
                 raw = (text.replace("\ufffd", "?") if loose else text).encode(read) if wide else text.translate(table).encode("latin-1")
-                new = raw.decode(written, "replace")
+                try:
+                    new = raw.decode(written)
+                except UnicodeDecodeError:
+                    new = raw.decode(written, "replace")
             except (UnicodeDecodeError, UnicodeEncodeError):
                 return None
             if "\ufffd" in new and not (loose and new.count("\ufffd") <= (0.5 if "\ufffd" in text else 0.2) * sum([c > "\x7f" for c in new])) and new.count("\ufffd") > 0.05 * len(new):
@@ -269,8 +285,8 @@ class Repairer:
                     break  # nothing odd is left
             if best[1] < SAVED:
                 break
-            text = self._apply(text, *best)
-            undone.append(name)
+            before, text = text, self._apply(text, *best)
+            undone.append(name + " with losses" * (text.count("\ufffd") > before.count("\ufffd")))
         return text, undone
 
     @staticmethod
@@ -278,11 +294,49 @@ class Repairer:
         return pattern.sub(lambda m: changes.get(m.group(), m.group()), text)
 
 
+#: Pairs that a partition counts before it hands them on.
+COUNTED = 500_000
+
+
+def _count_pairs(texts: DataFrame, text_col: str, model: CostModel | None = None) -> DataFrame:
+    """(pair, n, clean): texts with each pair, and those of them that the model doesn't repair. The pair "" counts the texts."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def rows(n: Counter, bad: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([v - bad[k] for k, v in n.items()], pa.int64())], ["pair", "n", "clean"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        bad: Counter = Counter()
+        repairer = Repairer(sent.value) if sent.value is not None else None
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    pairs = {"", *CostModel.pairs(t)}
+                    n.update(pairs)
+                    if repairer is not None and repairer.repair(t)[1]:
+                        bad.update(pairs)
+                if len(n) > COUNTED:
+                    yield rows(n, bad)
+                    n.clear()
+                    bad.clear()
+        yield rows(n, bad)
+
+    return texts.select(text_col).mapInArrow(run, "pair string, n bigint, clean bigint").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
+
+
 def fit(texts: DataFrame, text_col: str = "text", bound: int = FIT_TEXTS) -> CostModel:
-    """Cost model of about ``bound`` texts, by hash of the row; texts that the first model repairs are left out of the second."""
-    sample = sorted({r[0] for r in bounded_sample(texts, bound, text_col).select(text_col).collect()})
-    first = Repairer(CostModel(sample))
-    return CostModel([s for s in sample if not first.repair(s)[1]])
+    """Cost model of all texts. A first model repairs about ``bound`` texts, by hash of the row; what share of a pair's texts there is clean corrects its count over all."""
+    all_ = stage_table(_count_pairs(texts, text_col), "pairs")
+    total = all_.where("pair = ''").select("n").first()
+    if total is None:
+        return CostModel({})
+    often = all_.where((F.col("pair") != "") & (F.col("n") >= F.greatest(F.lit(2.0), F.lit(LEAST_SHARE * total[0]))))  # a table of the alphabets, not of the corpus
+    seen = {r[0]: r[1] / total[0] for r in often.select("pair", "n").collect()}
+    sample = spread(bounded_sample(texts, bound, text_col))
+    dirty = {r[0]: r[2] / r[1] for r in _count_pairs(sample, text_col, CostModel(seen)).where("clean < n").collect()}  # at most the pairs of the sample
+    clean = {k: v * dirty.get(k, 1.0) for k, v in seen.items()}
+    return CostModel({k: v for k, v in clean.items() if v >= max(LEAST_SHARE, 1.5 / total[0])})
 
 
 def repair_texts(docs: DataFrame, model: CostModel, id_col: str = "doc_id", text_col: str = "text", only_garbled: bool = True) -> DataFrame:

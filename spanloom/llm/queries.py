@@ -18,8 +18,7 @@ def _docs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf, "doc_id", "raw_text", "text", "lang")
-    filters = languages.fit(docs, table(spark, sf, "eval_items"))
-    return languages.label_documents(docs, filters, encoding.fit(docs))
+    return languages.label_documents(docs, languages.fit(docs), encoding.fit(docs))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,7 +26,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_languages(spark: SparkSession, sf: str) -> DataFrame:
-    return _labelled(spark, sf).select("doc_id", "seg_no", "lang", F.round("confidence", 6).alias("confidence"))
+    return _labelled(spark, sf).select("doc_id", "seg_no", "lang", F.round("confidence", 6).alias("confidence"), "start_char", "end_char")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -267,7 +267,12 @@ CLEAN = [
 
 @pytest.fixture(scope="module")
 def costs():
-    return encoding.CostModel([t for _, t in CLEAN for _ in range(30)])
+    return encoding.CostModel.of_texts([t for _, t in CLEAN for _ in range(30)])
+
+
+@pytest.fixture(scope="module")
+def filters(spark):
+    return languages.fit_filters(spark.createDataFrame(CLEAN * 3, "code string, text string"))
 
 
 @pytest.mark.parametrize("written, read", [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp1251"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1252", "mac_roman"), ("cp932", "latin-1"), ("cp1250", "cp1252")])
@@ -285,6 +290,22 @@ def test_round_trip_repair(costs, written, read):
     assert done
 
 
+def test_costs_are_counted_over_all_texts(spark):
+    clean = [CLEAN[k % len(CLEAN)][1] for k in range(800)]
+    bad = [CLEAN[1][1].encode("utf-8").decode("cp1252", "replace")] * 2
+    r = encoding.Repairer(encoding.fit(spark.createDataFrame([(k, t) for k, t in enumerate(clean + bad + [None, ""])], "doc_id bigint, text string")))
+    assert r.repair(bad[0])[1] and not any(r.repair(t)[1] for t in clean[:8])
+    assert encoding.fit(spark.createDataFrame([], "doc_id bigint, text string")).cost == {}
+
+
+def test_lost_bytes_are_told(costs):
+    r = encoding.Repairer(costs)
+    text = CLEAN[6][1]
+    bad = text.encode("utf-8").decode("gb18030", "replace")
+    new, undone = r.repair(bad)
+    assert undone and undone[0].startswith("utf-8 as gb18030") and ("\ufffd" in new) == undone[0].endswith("with losses")
+
+
 def test_nested_layers_and_texts_left_alone(costs):
     r = encoding.Repairer(costs)
     text = CLEAN[1][1]
@@ -298,9 +319,8 @@ def test_labels():
     assert [languages.label_code(x) for x in ("EN", "fra", "German", "pt-BR", "zh_Hans", " ", None, "und", "xx", "mul")] == ["en", "fr", "de", "pt", "zh", None, None, None, None, None]
 
 
-def test_language_paths(spark, costs):
-    many = [(lang, t) for lang, t in CLEAN for _ in range(3)]
-    f = languages.fit_examples(many, many)
+def test_language_paths(spark, costs, filters):
+    f = filters
     reader = languages.LanguageReader(f, encoding.Repairer(costs))
     for lang, text in CLEAN:
         assert [x for x, _ in reader.read(text)] == [lang]
@@ -310,19 +330,25 @@ def test_language_paths(spark, costs):
     docs = spark.createDataFrame([(1, CLEAN[0][1], "en"), (2, CLEAN[0][1], "de"), (3, CLEAN[1][1], None), (4, None, "en"), (5, "kurz", "xx")], "doc_id bigint, raw_text string, lang string")
     got = languages.label_documents(docs, f, costs)
     assert got.count() == 5
+    mixed = f"{CLEAN[0][1]} {CLEAN[1][1]}\n{CLEAN[4][1]}"
+    cut = [mixed[s:e].strip() for _, _, s, e in reader.stretches(mixed)]
+    assert cut == [CLEAN[0][1], CLEAN[1][1], CLEAN[4][1]]
+    labelled = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(CLEAN * 6)] + [(900 + k, CLEAN[0][1], "de") for k in range(2)] + [(990, "x", "und"), (991, None, "en")], "doc_id bigint, raw_text string, lang string")
+    own = languages.LanguageReader(languages.fit(labelled))
+    assert all([x for x, _ in own.read(t)] == [lang] for lang, t in CLEAN)
     assert sorted(map(tuple, languages.mislabelled(got).select("doc_id", "seg_no", "lang").collect())) == [(2, 0, "en"), (3, 0, "de")]
 
 
-def test_short_garbled_stretches_of_long_texts_are_repaired(costs):
-    reader = languages.LanguageReader(languages.fit_examples(CLEAN * 3, CLEAN * 3), encoding.Repairer(costs))
+def test_short_garbled_stretches_of_long_texts_are_repaired(costs, filters):
+    reader = languages.LanguageReader(filters, encoding.Repairer(costs))
     garbled = CLEAN[4][1].encode("cp1251").decode("koi8-r")
     for times in (1, 5, 40):
         rest = " ".join([CLEAN[0][1]] * times)
         assert [x for x, _ in reader.read(f"{rest}\n{garbled}\n{rest}")] == ["en", "ru", "en"]
 
 
-def test_capitals_are_judged_by_stretch():
-    reader = languages.LanguageReader(languages.fit_examples(CLEAN * 3, CLEAN * 3))
+def test_capitals_are_judged_by_stretch(filters):
+    reader = languages.LanguageReader(filters)
     ordinary, german = " ".join([CLEAN[0][1]] * 8), CLEAN[1][1]
     for stretch in (german.upper(), german.swapcase(), german.upper().replace(" ", ". ")):
         assert [x for x, _ in reader.read(f"{ordinary}\n\n{stretch}\n\n{ordinary}")] == ["en", "de", "en"]
@@ -432,11 +458,11 @@ def test_rare_names_and_abbreviations_stay_in_large_corpora(spark):
     assert evidence.has("seen", "first") and (sentences.corpus_evidence(thai.unionByName(many)).rows == evidence.rows).all()
 
 
-def test_long_texts_take_linear_time(costs, lexicon):
+def test_long_texts_take_linear_time(costs, lexicon, filters):
     import time
 
     scanner = pii.Scanner(lexicon)
-    reader = languages.LanguageReader(languages.fit_examples(CLEAN * 3, CLEAN * 3))
+    reader = languages.LanguageReader(filters)
     for t in ("." * 40_000, "x.y@z.test " * 4_000, "Ada Mensah " * 4_000, "(" * 40_000, "A. " * 13_000, "1 2" * 13_000, "的" * 40_000, "a-" * 20_000, "\n" * 40_000):
         for f in (scanner.scan, reader.read, sentences.split_sentences, duplicates.leaves, lambda x: pieces.cut_points(x, 900, 120), encoding.Repairer(costs).repair):
             began = time.time()
