@@ -91,18 +91,18 @@ _QUIET = regex.compile(r"[\u2000-\u206f\u00a0\u3000\ufeff«»¿¡。、，：；
 class CostModel:
     """Cost of neighbouring characters, from the share of texts that hold them."""
 
-    def __init__(self, shares: dict[str, float]):
+    def __init__(self, shares: dict[str, float], odd_share: float = ODD_SHARE):
         self.dearest = -math.log(UNSEEN)
         self.cost = {k: -math.log(v + UNSEEN) for k, v in shares.items()}
         self.blocks = {ord(c) >> 7 for k in self.cost for c in k}
-        self.odd = -math.log(ODD_SHARE + UNSEEN) - 1e-9
+        self.odd = -math.log(odd_share + UNSEEN) - 1e-9
 
     @classmethod
     def of_texts(cls, texts: Iterable[str]) -> CostModel:
         """Model of a list of texts; pairs that one text alone has count as unseen."""
         texts = list(texts)
         seen = Counter(p for t in texts for p in cls.pairs(t))
-        return cls({k: v / len(texts) for k, v in seen.items() if v > 1})
+        return cls({k: v / len(texts) for k, v in seen.items() if v > 1}, max(ODD_SHARE, 2 / len(texts)))
 
     @classmethod
     def pairs(cls, text: str) -> set[str]:
@@ -285,8 +285,8 @@ class Repairer:
                     break  # nothing odd is left
             if best[1] < SAVED:
                 break
-            before, text = text, self._apply(text, *best)
-            undone.append(name + " with losses" * (text.count("\ufffd") > before.count("\ufffd")))
+            text = self._apply(text, *best)
+            undone.append(name + " with losses" * any("\ufffd" in x for x in best[0].values()))
         return text, undone
 
     @staticmethod
@@ -326,7 +326,7 @@ def _count_pairs(texts: DataFrame, text_col: str, model: CostModel | None = None
 
 
 def fit(texts: DataFrame, text_col: str = "text", bound: int = FIT_TEXTS) -> CostModel:
-    """Cost model of all texts. A first model repairs about ``bound`` texts, by hash of the row; what share of a pair's texts there is clean corrects its count over all."""
+    """Cost model of all texts. A first model repairs about ``bound`` texts, by hash of the row, looking at every word; what share of a pair's texts there is clean corrects its count over all."""
     all_ = stage_table(_count_pairs(texts, text_col), "pairs")
     total = all_.where("pair = ''").select("n").first()
     if total is None:
@@ -334,9 +334,9 @@ def fit(texts: DataFrame, text_col: str = "text", bound: int = FIT_TEXTS) -> Cos
     often = all_.where((F.col("pair") != "") & (F.col("n") >= F.greatest(F.lit(2.0), F.lit(LEAST_SHARE * total[0]))))  # a table of the alphabets, not of the corpus
     seen = {r[0]: r[1] / total[0] for r in often.select("pair", "n").collect()}
     sample = spread(bounded_sample(texts, bound, text_col))
-    dirty = {r[0]: r[2] / r[1] for r in _count_pairs(sample, text_col, CostModel(seen)).where("clean < n").collect()}  # at most the pairs of the sample
+    dirty = {r[0]: r[2] / r[1] for r in _count_pairs(sample, text_col, CostModel(seen, 1.0)).where("clean < n").collect()}  # at most the pairs of the sample
     clean = {k: v * dirty.get(k, 1.0) for k, v in seen.items()}
-    return CostModel({k: v for k, v in clean.items() if v >= max(LEAST_SHARE, 1.5 / total[0])})
+    return CostModel({k: v for k, v in clean.items() if v >= max(LEAST_SHARE, 1.5 / total[0])}, max(ODD_SHARE, 2 / total[0]))
 
 
 def repair_texts(docs: DataFrame, model: CostModel, id_col: str = "doc_id", text_col: str = "text", only_garbled: bool = True) -> DataFrame:
