@@ -166,6 +166,7 @@ class Repairer:
         if codec.startswith("cp125"):  # bytes 80 to 9f are also delivered as control characters
             to_byte = {b: chr(_BASE + b) for b in range(0x80, 0xA0)} | to_byte
         back = {_BASE + b: c for b, c in table.items()}
+        leads = frozenset(chr(k) for k, b in to_byte.items() if 0xC2 <= ord(b) - _BASE <= 0xF4)
 
         def one(m) -> str:
             raw = bytes(ord(c) - _BASE for c in m.group())
@@ -175,6 +176,8 @@ class Repairer:
                 return m.group()
 
         def run(text: str) -> str:
+            if leads.isdisjoint(text):
+                return text
             t = text.translate(to_byte)
             if not _SEQUENCE.search(t):
                 return text
@@ -186,9 +189,11 @@ class Repairer:
     def _swap(written: str, read: str) -> Callable[[str], str | None]:
         right, wrong = _table(written), _table(read)
         table = {ord(wrong[b]): right[b] for b in range(128, 256)}
-        latin = written in LATIN
+        latin, told = written in LATIN, frozenset(wrong[b] for b in range(128, 256) if wrong[b] != right[b])
 
         def run(text: str) -> str | None:
+            if told.isdisjoint(text):
+                return None
             new = text.translate(table)
             return new if new != text and _letters_changed(text, new, latin) else None
 
@@ -326,7 +331,7 @@ def _count_pairs(texts: DataFrame, text_col: str, model: CostModel | None = None
 
 
 def fit(texts: DataFrame, text_col: str = "text", bound: int = FIT_TEXTS) -> CostModel:
-    """Cost model of all texts. A first model repairs about ``bound`` texts, by hash of the row, looking at every word; what share of a pair's texts there is clean corrects its count over all."""
+    """Cost model of all texts. A first model repairs about ``bound`` texts, by hash of the row; what share of a pair's texts there is clean corrects its count over all."""
     all_ = stage_table(_count_pairs(texts, text_col), "pairs")
     total = all_.where("pair = ''").select("n").first()
     if total is None:
@@ -334,7 +339,7 @@ def fit(texts: DataFrame, text_col: str = "text", bound: int = FIT_TEXTS) -> Cos
     often = all_.where((F.col("pair") != "") & (F.col("n") >= F.greatest(F.lit(2.0), F.lit(LEAST_SHARE * total[0]))))  # a table of the alphabets, not of the corpus
     seen = {r[0]: r[1] / total[0] for r in often.select("pair", "n").collect()}
     sample = spread(bounded_sample(texts, bound, text_col))
-    dirty = {r[0]: r[2] / r[1] for r in _count_pairs(sample, text_col, CostModel(seen, 1.0)).where("clean < n").collect()}  # at most the pairs of the sample
+    dirty = {r[0]: r[2] / r[1] for r in _count_pairs(sample, text_col, CostModel(seen, max(ODD_SHARE, 2 / total[0]))).where("clean < n").collect()}  # at most the pairs of the sample
     clean = {k: v * dirty.get(k, 1.0) for k, v in seen.items()}
     return CostModel({k: v for k, v in clean.items() if v >= max(LEAST_SHARE, 1.5 / total[0])}, max(ODD_SHARE, 2 / total[0]))
 
