@@ -42,7 +42,7 @@ def _luhn_digit(d: Column, k: Column) -> Column:
 
 
 def iban(value: Column) -> Column:
-    v = F.upper(bare(value))
+    v = F.upper(F.regexp_replace(value, r"\s", ""))
     turned = F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))
     chars = F.filter(F.split(turned, ""), lambda c: c != "")
     rest = F.aggregate(chars, F.lit(0), lambda a, c: F.when(c.rlike("[A-Z]"), (a * 100 + F.ascii(c) - 55) % 97).otherwise((a * 10 + F.coalesce(c.try_cast("int"), F.lit(0))) % 97))
@@ -51,7 +51,43 @@ def iban(value: Column) -> Column:
 
 def pesel(value: Column) -> Column:
     v = bare(value)
-    return _formed(v, "^[0-9]{11}$", (10 - weighted(v, [1, 3, 7, 9, 1, 3, 7, 9, 1, 3]) % 10) % 10 == _digit(v, F.lit(11)))
+    day = (F.substring(v, 3, 2).cast("int") % 20).between(1, 12) & F.substring(v, 5, 2).cast("int").between(1, 31)
+    return _formed(v, "^[0-9]{11}$", day & ((10 - weighted(v, [1, 3, 7, 9, 1, 3, 7, 9, 1, 3]) % 10) % 10 == _digit(v, F.lit(11))))
+
+
+def payment_card(value: Column) -> Column:
+    return luhn(value) & bare(value).rlike("^[2-6][0-9]{12,18}$")
+
+
+def imei(value: Column) -> Column:
+    return luhn(value) & (F.length(bare(value)) == 15)
+
+
+def card_shape(value: Column) -> Column:
+    """Lengths and first digits of the three large card networks."""
+    v = bare(value)
+    four, two = F.substring(v, 1, 4).try_cast("int"), F.substring(v, 1, 2)
+    sixteen = (F.length(v) == 16) & (two.between("51", "55") | four.between(2221, 2720))
+    return _formed(v, "^[0-9]+$", (v.startswith("4") & F.length(v).isin(13, 16, 19)) | sixteen | ((F.length(v) == 15) & two.isin("34", "37")))
+
+
+def phone_surface(value: Column) -> Column:
+    """7 to 15 digits without the extension, at most one pair of parentheses, no date and no IPv4 address, 40 characters at most."""
+    base = F.trim(F.regexp_replace(value, r"(?i)\s*(?:ext\.?|x)\s*[0-9]+\s*$", ""))
+    opened, closed = F.regexp_count(base, F.lit(r"\(")), F.regexp_count(base, F.lit(r"\)"))
+    digits = F.length(F.regexp_replace(base, "[^0-9]", ""))
+    other = base.rlike(r"^[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}$") | base.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    return (F.length(value) <= 40) & digits.between(7, 15) & (opened == closed) & (opened <= 1) & ~other
+
+
+def birth_number(value: Column) -> Column:
+    """Czech and Slovak birth numbers of ten digits: months plus 20, 50 or 70 for some, the last digit the rest of the others by 11."""
+    v = bare(value)
+    m = F.substring(v, 3, 2).try_cast("int")
+    month = F.when(m > 70, m - 70).when(m > 50, m - 50).when(m > 20, m - 20).otherwise(m)
+    rest = F.substring(v, 1, 9).try_cast("bigint") % 11
+    good = month.between(1, 12) & F.substring(v, 5, 2).try_cast("int").between(1, 31) & (F.when(rest == 10, 0).otherwise(rest) == _digit(v, F.lit(10)))
+    return _formed(v, "^[0-9]{10}$", F.coalesce(good, F.lit(False)))
 
 
 def turkish_id(value: Column) -> Column:
@@ -121,6 +157,17 @@ def ipv4(value: Column) -> Column:
     return F.when(value.isNull(), None).otherwise((F.size(parts) == 4) & good)
 
 
+def ipv6(value: Column) -> Column:
+    """Eight groups of up to four hex digits, or fewer with one gap of colons for the zeros; an IPv4 tail counts as two."""
+    v = F.regexp_replace(F.trim(value), r":([0-9]{1,3}\.){3}[0-9]{1,3}$", ":0:0")
+    tail = F.regexp_extract(F.trim(value), r":((?:[0-9]{1,3}\.){3}[0-9]{1,3})$", 1)
+    halves = F.split(v, "::")
+    groups = F.filter(F.flatten(F.transform(halves, lambda h: F.split(h, ":"))), lambda g: g != "")
+    formed = F.forall(groups, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")) & v.rlike("^(?:[0-9A-Fa-f]|::).*(?:[0-9A-Fa-f]|::)$") & ~v.rlike(":::")
+    count = F.when(F.size(halves) == 1, F.size(groups) == 8).otherwise((F.size(halves) == 2) & (F.size(groups) <= 7))
+    return F.when(value.isNull(), None).otherwise(formed & count & ((tail == "") | F.coalesce(ipv4(tail), F.lit(False))))
+
+
 def coordinates(value: Column) -> Column:
     """Two decimals in the range of latitude and longitude, not both 0."""
     n = F.regexp_extract_all(value, F.lit(r"(-?[0-9]+\.[0-9]+)"), F.lit(1))

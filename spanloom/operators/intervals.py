@@ -130,25 +130,29 @@ def layers(array_col: str) -> Column:
 
 
 def best_schedule(spans: list[tuple[int, int, float]]) -> list[int]:
-    """Indexes of non-overlapping spans (s, e, score) of the greatest summed score."""
-    from bisect import bisect_right
-
-    order = sorted(range(len(spans)), key=lambda k: (spans[k][1], spans[k][0], k))
-    ends = [spans[k][1] for k in order]
-    best: list[float] = [0.0]
-    take: list[bool] = []
-    for i, k in enumerate(order):
-        s, _, score = spans[k]
-        with_k = score + best[bisect_right(ends, s, 0, i)]
-        take.append(with_k > best[i])
-        best.append(max(best[i], with_k))
-    out, i = [], len(order)
-    while i:
-        if take[i - 1]:
-            out.append(order[i - 1])
-            i = bisect_right(ends, spans[order[i - 1]][0], 0, i - 1)
-        else:
-            i -= 1
+    """Indexes of non-overlapping spans (s, e, score) of the greatest summed score; of equal ones the later start loses.
+
+    One sweep over the coordinates: the best total up to each is handed on, spans pick it up where they start and offer
+    theirs where they end.
+    """
+    starting: dict[int, list[int]] = {}
+    ending: dict[int, list[int]] = {}
+    for k, (s, e, _) in enumerate(spans):
+        starting.setdefault(s, []).append(k)
+        ending.setdefault(e, []).append(k)
+    total, chain = 0.0, None  # chain: (index, chain before)
+    reached: dict[int, tuple[float, tuple | None]] = {}
+    for x in sorted(starting.keys() | ending.keys()):
+        for k in ending.get(x, ()):
+            before, links = reached.pop(k)
+            if before + spans[k][2] > total:
+                total, chain = before + spans[k][2], (k, links)
+        for k in starting.get(x, ()):
+            reached[k] = total, chain
+    out = []
+    while chain:
+        out.append(chain[0])
+        chain = chain[1]
     return sorted(out)
 
 

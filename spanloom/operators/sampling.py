@@ -33,13 +33,13 @@ def cap_shares(mass: dict[str, float], caps: dict[str, float], movable: set[str]
         over = {g for g in movable - fixed if g in caps and now[g] > caps[g] * total + 1e-12}
         if not over:
             break
+        takers = {g: now[g] for g in movable - fixed - over if now[g] > 0}
+        if not takers:  # nothing may take the mass, so it stays and the groups are told
+            return {g: now[g] / mass[g] if mass[g] else 0.0 for g in mass}, sorted(over)
         free = sum(now[g] - caps[g] * total for g in over)
         for g in over:
             now[g] = caps[g] * total
         fixed |= over
-        takers = {g: now[g] for g in movable - fixed if now[g] > 0}
-        if not takers:
-            return {g: now[g] / mass[g] if mass[g] else 0.0 for g in mass}, sorted(over)
         scale = 1 + free / sum(takers.values())
         for g in takers:
             now[g] *= scale
@@ -157,3 +157,27 @@ def support_deficits(examples: DataFrame, cells: DataFrame, keys: list[str], sur
     n = examples.groupBy(*keys).agg(F.count(F.lit(1)).alias("examples"), F.count_distinct(surface).alias("surfaces"), F.count_distinct(group).alias("groups"))
     j = cells.join(n, keys, "left").na.fill(0, ["examples", "surfaces", "groups"])
     return j.where((F.col("surfaces") < least) | (F.col("groups") < least_groups)).withColumn("missing", F.greatest(F.lit(0), F.lit(least) - F.col("surfaces")))
+
+
+def capped_extra_weights(scores: DataFrame, key: str, score: str, budget: float, cap: float) -> DataFrame:
+    """(key, weight): the budget in proportion to the scores, no weight over the cap.
+
+    Weights are score * scale up to the cap, where the scale is the one at which they sum to the budget: scores are summed
+    by size, and the scale is read off the running sums, so no round over the rows is needed. If the budget can't be placed
+    all positive scores have the cap; scores of 0 or less have no weight.
+    """
+    by = scores.where(F.col(score) > 0).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    down = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    total = by.agg(F.sum(F.col("_s") * F.col("_n"))).first()[0] or 0.0
+    over = by.withColumn("_above", F.coalesce(F.sum("_n").over(down), F.lit(0))).withColumn("_mass", F.coalesce(F.sum(F.col("_s") * F.col("_n")).over(down), F.lit(0.0)))
+    # the scale if all scores above this one are capped; the first at which this one isn't is the right one
+    scale = (F.lit(float(budget)) - cap * F.col("_above")) / (F.lit(float(total)) - F.col("_mass"))
+    found = over.withColumn("_scale", scale).where(F.col("_s") * F.col("_scale") < cap).orderBy(F.desc("_s")).select("_scale").first()
+    weight = F.when(F.col(score) <= 0, 0.0).otherwise(F.least(F.lit(float(cap)), F.col(score) * F.lit(max(0.0, found[0]))) if found else F.lit(float(cap)))
+    return scores.select(key, F.coalesce(weight, F.lit(0.0)).alias("weight"))
+
+
+def schedule_metrics(rows: DataFrame, batch: str, size: str, key: str) -> DataFrame:
+    """(batches, padding, repeats, variation): part of the batches' places that padding fills, rows whose key their batch has already, and the coefficient of variation of the batches' sizes."""
+    b = rows.groupBy(batch).agg(F.sum(size).alias("used"), (F.max(size) * F.count(F.lit(1))).alias("held"), (F.count(F.lit(1)) - F.count_distinct(key)).alias("repeats"))
+    return b.agg(F.count(F.lit(1)).alias("batches"), (1 - F.sum("used") / F.sum("held")).alias("padding"), F.sum("repeats").alias("repeats"), (F.stddev_samp("used") / F.avg("used")).alias("variation"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,23 +59,31 @@ def bounded_segments(df: DataFrame, id_col: str, text_col: str, spans_col: str,
 
 
 def cut_segments(text: str, protected: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
-    out, s, n = [], 0, len(text)
+    """Cuts at the last natural boundary within reach, else at the limit, moved to the end of the protected stretch that it would part."""
+    n = len(text)
+    inner = np.zeros(n + 2, np.int32)  # places strictly inside a protected span
+    for a, b in protected:
+        if a is not None and b is not None and 0 <= a < b <= n and b - a > 1:
+            inner[a + 1] += 1
+            inner[b] -= 1
+    closed = np.cumsum(inner)[: n + 1] > 0
+    free = np.flatnonzero(~closed)
+    natural = np.array(sorted({m.end() for m in _BOUNDARY.finditer(text)}), np.int64)
+    out, s = [], 0
     while s < n:
         e = min(n, s + most)
         if e < n:
-            stop = max(text.rfind("\n", s, e) + 1, text.rfind(". ", s, e - 1) + 2 if text.rfind(". ", s, e - 1) >= 0 else 0)
-            e = stop if stop > s else e
-            moved = True
-            while moved:
-                moved = False
-                for a, b in protected:
-                    if a is not None and b is not None and a < e < b <= n:
-                        e, moved = b, True
+            near = natural[np.searchsorted(natural, s, "right") : np.searchsorted(natural, e, "right")]
+            e = int(near[-1]) if len(near) else e
+            e = int(free[np.searchsorted(free, e)])
         out.append((s, e))
         s = e
     return out
 
 
+_BOUNDARY = re.compile(r"\n|\. ")
+
+
 def token_spans(tokens: DataFrame) -> DataFrame:
     """(doc, s, e, label) of BIO labels. tokens: (doc, no, token, tag), one row per token; the text is the tokens joined by one blank.
 

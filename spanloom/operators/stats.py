@@ -46,6 +46,26 @@ def paired_bootstrap(counts: DataFrame, groups: str, resamples: int = 1_000, see
     return out.select("observed", "low", "high", F.least(F.lit(1.0), 2 * F.least("_le", "_ge")).alias("p"), "win_rate")
 
 
+def bootstrap_error(counts: DataFrame, by: str, unit: str, resamples: int = 1_000, seed: int = 0) -> DataFrame:
+    """(by, f, error): F1, and its standard deviation over resamples of the units, each drawn a Poisson(1) number of times by its own hash and the seed. What is moved is three sums per resample, group and partition."""
+    names = ["tp", "predicted", "gold"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for b in batches:
+            v = np.column_stack([b.column(k + 2).to_numpy(zero_copy_only=False) for k in range(3)])
+            for key, h, row in zip(b.column(0).to_pylist(), b.column(1).to_numpy(), v):
+                w = np.random.default_rng([seed, int(h) & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, resamples)
+                total[key] = total.get(key, 0) + np.append(w, 1)[:, None] * row
+        for key, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(t), pa.string()), pa.array(np.arange(len(t))), *(pa.array(t[:, k]) for k in range(3))], ["key", "resample", *names])
+
+    each = counts.select(F.col(by).cast("string"), F.xxhash64(unit), *[F.col(c).cast("double") for c in names])
+    sums = each.mapInArrow(run, "key string, resample bigint, tp double, predicted double, gold double").groupBy("key", "resample").agg(*[F.sum(c).alias(c) for c in names])
+    f = sums.select("key", "resample", ratio(2 * F.col("tp"), F.col("predicted") + F.col("gold")).alias("f"))
+    return f.groupBy(F.col("key").alias(by)).agg(F.max(F.when(F.col("resample") == resamples, F.col("f"))).alias("f"), F.stddev_samp(F.when(F.col("resample") < resamples, F.col("f"))).alias("error"))
+
+
 def best_threshold(curve: DataFrame, by: list[str], default: float = 0.5) -> DataFrame:
     """(by, threshold, f): the threshold with the highest F; ties go to the one nearest the default, then to the lower."""
     w = Window.partitionBy(*by).orderBy(F.round("f", 12).desc(), F.round(F.abs(F.col("threshold") - default), 9), "threshold")

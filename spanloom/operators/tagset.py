@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Levels of a forest at most; deeper ones are an error.
 DEPTH = 12
 
 
@@ -15,7 +16,9 @@ def closure(nodes: DataFrame) -> DataFrame:
     """(node, ancestor, steps) of nodes (node, parent), every node being its own ancestor in 0 steps."""
     out = level = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"))
     up = nodes.where("parent is not null").select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
-    for _ in range(DEPTH):
+    for k in range(DEPTH + 1):
+        if k == DEPTH and not level.isEmpty():
+            raise ValueError(f"labels lie deeper than {DEPTH} levels, or in a circle")
         level = level.join(F.broadcast(up), "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("steps") + 1).alias("steps"))
         out = out.union(level)
     return out
@@ -52,3 +55,16 @@ def collapse_rare(counts: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     fit = up.where(F.col("total") >= least).groupBy("node").agg(F.min_by("ancestor", "steps").alias("fit"))
     root = up.groupBy("node").agg(F.max_by("ancestor", "steps").alias("root"))
     return counts.select("label").join(root.withColumnRenamed("node", "label"), "label").join(fit.withColumnRenamed("node", "label"), "label", "left").select("label", F.coalesce("fit", "root").alias("target"))
+
+
+def back_project(nodes: DataFrame, cut: DataFrame) -> DataFrame:
+    """(target, label, options): the leaves of the forest that each label of the cut stands for, and how many they are."""
+    parents = nodes.where("parent is not null").select(F.col("parent").alias("label")).distinct()
+    leaves = nodes.select(F.col("node").alias("label")).join(parents, "label", "left_anti")
+    of = project(leaves, nodes, cut).where("target is not null")
+    return of.join(of.groupBy("target").agg(F.count(F.lit(1)).alias("options")), "target").select("target", "label", "options")
+
+
+def invert(pairs: DataFrame) -> DataFrame:
+    """(target, sources, n): distinct sources of each target, joined by |, and their number. Labels are configuration, so the sets are small."""
+    return pairs.select("source", "target").distinct().groupBy("target").agg(F.array_join(F.array_sort(F.collect_list("source")), "|").alias("sources"), F.count(F.lit(1)).alias("n"))

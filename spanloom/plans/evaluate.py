@@ -143,7 +143,7 @@ def paired_bootstrap(t):
     """Resampled difference of two models on the same groups."""
     c = _counts(t).where("coverage = 80 and threshold = 0.5")
     side = lambda m, p: [F.sum(F.when(F.col("model") == m, F.col(c)).otherwise(0)).alias(f"{p}_{c}") for c in ("tp", "predicted", "gold")]
-    return stats.paired_bootstrap(c.groupBy("group_id").agg(*side("span-a", "a"), *side("span-b", "b")), "group_id", 1_000)
+    return stats.paired_bootstrap(c.groupBy("group_id").agg(*side("span-a", "a"), *side("span-b", "b")), "group_id", 10_000)
 
 
 @query(f"""WITH l AS (SELECT model, threshold, lang, {_SUM} FROM score_counts WHERE coverage = 80 AND lang IS NOT NULL GROUP BY ALL) SELECT model, threshold, round(avg({_F}), 9) AS f, row_number() OVER (ORDER BY round(avg({_F}), 9) DESC, model, threshold) AS place FROM l GROUP BY model, threshold""")

@@ -28,8 +28,9 @@ def _items(t):
 
 
 def _documents(t):
-    """Distinct texts, each with its smallest id: the search runs on representatives."""
-    return t("documents").where("text is not null and length(text) >= 20").groupBy("text").agg(F.min("doc_id").alias("id")).select("id", "text")
+    """Distinct texts, each with its smallest id: the search runs on representatives. Texts are compared by their digests."""
+    d = t("documents").where("text is not null and text <> ''").select("doc_id", "text", F.sha2("text", 256).alias("k"))
+    return d.groupBy("k").agg(F.min(F.struct("doc_id", "text")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.text")
 
 
 @query(f"WITH {_TOP} SELECT a, b, round(cosine, 6) AS cosine, rank FROM top")
@@ -75,9 +76,12 @@ def lexical_within(t):
 
 def _two_views(t):
     """Stated document queries in both views; the vectors are those with the documents' ids."""
-    d, v = _documents(t), _vectors(t)
-    lexical = sim.lexical_topk(_asked(d), d, k=16, within=True)
-    return sim.two_views(lexical, sim.cosine_topk(_asked(v), v, k=100), 0.3, 0.0)
+    d, v = stage_table(_documents(t), "representatives"), _vectors(t)
+    # a stated row asks by its representative
+    asked = t("documents").where("doc_id % 100 = 0 and text <> ''").select(F.sha2("text", 256).alias("k")).distinct()
+    queries = d.withColumn("k", F.sha2("text", 256)).join(asked, "k", "left_semi").select("id", "text")
+    lexical = sim.lexical_topk(queries, d, k=16, within=True)
+    return sim.two_views(lexical, sim.cosine_topk(_asked(v), v, k=100))
 
 
 @query()

@@ -10,7 +10,7 @@ from ..operators import dedup, quality, segments
 from ..registry import query
 
 NORM = r"trim(regexp_replace(lower({c}), '[\s\p{{Z}}]+', ' ', 'g'))"
-CUES = ["file", "reference", "dossier", "expediente", "vorgang"]
+CUES = {"matter": ["file", "dossier", "expediente", "vorgang", "matter"], "sign": ["reference", "order", "number", "nummer"]}
 
 
 @query(f"""SELECT sha256({NORM.format(c="text")}) AS key, min(doc_id) AS keep, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
@@ -33,15 +33,16 @@ def decontaminate_exact(t):
     return dedup.keep_first(clean, "text", "doc_id").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query(r"""SELECT coalesce(CASE WHEN text IS NULL OR length(text) < 40 THEN 'too_short' WHEN length(text) > 2000 THEN 'too_long'
+@query(r"""WITH s AS (SELECT lang, regexp_replace(regexp_replace(text, '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '') AS text FROM documents) SELECT coalesce(CASE WHEN text IS NULL OR length(text) < 40 THEN 'too_short' WHEN length(text) > 2000 THEN 'too_long'
  WHEN length(regexp_replace(text, '\P{L}', '', 'g')) / greatest(1, length(text)) < 0.5 THEN 'low_letter_ratio'
  WHEN contains(text, chr(10)) THEN 'internal_line_break'
- WHEN list_max([length(x) for x in regexp_split_to_array(text, '[ \t\n\r\f\v]+')]) > 60 THEN 'overlong_token'
- WHEN length(text) > 40 AND length(regexp_replace(text, '\P{Lu}', '', 'g')) / greatest(1, length(regexp_replace(text, '\P{L}', '', 'g'))) > 0.6 THEN 'all_caps' END, 'passed') AS reason, count(*) AS n FROM documents GROUP BY 1""")
+ WHEN coalesce(lang NOT IN ('zh', 'ja', 'th'), true) AND list_max([length(x) for x in regexp_split_to_array(text, '[\s\p{Z}]+')]) > 60 THEN 'overlong_token'
+ WHEN length(text) > 40 AND NOT regexp_matches(text, '\p{Ll}') AND length(regexp_replace(text, '\P{Lu}', '', 'g')) / length(text) > 0.6 THEN 'all_caps' END, 'passed') AS reason, count(*) AS n FROM s GROUP BY 1""")
 def quality_reasons(t):
-    return quality.with_quality(t("documents")).groupBy(F.coalesce("reason", F.lit("passed")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return quality.with_quality(t("documents"), lang_col="lang").groupBy(F.coalesce("reason", F.lit("passed")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_CUES = ["|".join(rf"\b{c}\b" for c in words) for words in CUES.values()]
 _HITS = {n: p.replace("'", "''") for n, p in quality.IDENTIFIERS.items()}
 
 
@@ -50,7 +51,7 @@ def identifier_hits(t):
     return t("documents").select(F.explode(quality.identifier_hits(F.col("text"))).alias("identifier")).groupBy("identifier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN " + " OR ".join(f"regexp_matches(text, '{p}')" for p in _HITS.values()) + " THEN 'identifier' WHEN len(regexp_extract_all(coalesce(lower(text), ''), '" + "|".join(rf"\b{c}\b" for c in CUES) + "')) >= 2 THEN 'reference' ELSE 'ordinary' END AS stratum FROM documents")
+@query("SELECT doc_id, CASE WHEN " + " OR ".join(f"regexp_matches(text, '{p}')" for p in _HITS.values()) + " THEN 'identifier' WHEN " + " + ".join(f"len(regexp_extract_all(coalesce(lower(text), ''), '{p}'))" for p in _CUES) + " >= 2 AND " + " AND ".join(f"regexp_matches(lower(text), '{p}')" for p in _CUES) + " THEN 'reference' ELSE 'ordinary' END AS stratum FROM documents")
 def document_strata(t):
     return t("documents").select("doc_id", quality.stratum(F.col("text"), CUES).alias("stratum"))
 
@@ -180,7 +181,7 @@ def _keyed(t):
 
 @query(f"""SELECT count(*) AS n,
  count(*) FILTER (WHERE ({" + ".join((f"substr(v, {k}, 1)::INT" if k % 2 else f"(CASE WHEN substr(v, {k}, 1)::INT * 2 > 9 THEN substr(v, {k}, 1)::INT * 2 - 9 ELSE substr(v, {k}, 1)::INT * 2 END)") for k in range(11, 0, -1))}) % 10 = 0) AS luhn,
- count(*) FILTER (WHERE (10 - {_sum([1, 3, 7, 9, 1, 3, 7, 9, 1, 3])} % 10) % 10 = {_D.format(k=11)}) AS pesel,
+ count(*) FILTER (WHERE (10 - {_sum([1, 3, 7, 9, 1, 3, 7, 9, 1, 3])} % 10) % 10 = {_D.format(k=11)} AND substr(v, 3, 2)::INT % 20 BETWEEN 1 AND 12 AND substr(v, 5, 2)::INT BETWEEN 1 AND 31) AS pesel,
  count(*) FILTER (WHERE (CASE WHEN {_sum([9, 8, 7, 6, 5, 4, 3, 2, 1])} % 101 = 100 THEN 0 ELSE {_sum([9, 8, 7, 6, 5, 4, 3, 2, 1])} % 101 END) = substr(v, 10, 2)::INT) AS snils,
  count(*) FILTER (WHERE ((({_sum([1, 0, 1, 0, 1, 0, 1, 0, 1])} * 7 - {_sum([0, 1, 0, 1, 0, 1, 0, 1])}) % 10) + 10) % 10 = {_D.format(k=10)} AND {_sum([1] * 10)} % 10 = {_D.format(k=11)}) AS turkish_id
 FROM {_KEYED}""")

@@ -121,11 +121,12 @@ def test_tagset(spark):
 def test_rules(spark):
     m = rules.Matcher(rules.DEFAULT_RULES)
     text = "😀 mail a.b@c.org, call 0555 123 4567, card 4111 1111 1111 1111, not 4111 1111 1111 1112, IP 10.0.0.300"
-    assert [(text[s:e], label) for s, e, label, *_ in m.find(text)] == [("a.b@c.org", "email_address"), ("0555 123 4567", "phone_number"), ("4111 1111 1111 1111", "payment_card_data")]
+    german = rules.Matcher([rules.Rule("p", "phone", r"\d{6,}", cues=("de:anruf", "tel"))])
+    assert german.find("Anruf 1234567", "de") and not german.find("Anruf 1234567", "fr") and german.find("Tel 1234567", "fr")
     assert m.find(None) == [] and m.find("") == []
     df = spark.createDataFrame([(1, text), (2, None)], "id int, text string")
     found = rules.scan(df, rules.DEFAULT_RULES, "id", "text")
-    assert found.count() == 3
+    assert [(text[r["s"]:r["e"]], r["label"]) for r in found.orderBy("s").collect()] == [("a.b@c.org", "email_address"), ("0555 123 4567", "phone_number"), ("4111 1111 1111 1111", "payment_card_data")]
     have = spans(spark, [(1, 7, 16, "email_address")])
     merged = rules.arbitrate(have, found, "skip").collect()
     assert len(merged) == 3 and sum(r["origin"] == "existing" for r in merged) == 1
