@@ -326,6 +326,9 @@ def test_language_paths(spark, costs, filters):
         assert [x for x, _ in reader.read(text)] == [lang]
     assert [x for x, _ in reader.read(CLEAN[0][1] + " " + CLEAN[1][1] + "\n" + CLEAN[4][1])] == ["en", "de", "ru"]
     assert [x for x, _ in reader.read(CLEAN[4][1].encode("utf-8").decode("cp1251", "replace"))] in (["ru"], [])
+    for short in ("กข", "กข abc กข", CLEAN[0][1] + " กข"):
+        reader.read(short)
+    assert not reader.table[reader.rows(["กข"])[0], :-4].any()
     assert reader.read(None) == [] and reader.read("") == [] and reader.read("12345 67") == []
     docs = spark.createDataFrame([(1, CLEAN[0][1], "en"), (2, CLEAN[0][1], "de"), (3, CLEAN[1][1], None), (4, None, "en"), (5, "kurz", "xx")], "doc_id bigint, raw_text string, lang string")
     got = languages.label_documents(docs, f, costs)
