@@ -73,6 +73,8 @@ class SeedIndex:
     def __init__(self, items: list[tuple[int, str]], least: int, masks: tuple[str, ...] = MASKS, tolerant: bool = False):
         self.masks, self.least, self.span = masks, least, len(masks[0])
         self.stride = 1 if tolerant else max(1, (least - self.span + 1) // 4)
+        #: Hits along one shift that a passage has at least: with equal passages those of all masks at each place looked up.
+        self.tolerant, self.least_hits = tolerant, LEAST_HITS if tolerant else len(masks) * ((least - self.span + 1) // self.stride)
         self.ids = [i for i, _ in items]
         self.codes = [_codes(squeeze(t)) for _, t in items]
         self.sizes = np.array([len(c) for c in self.codes], np.int64)
@@ -116,16 +118,20 @@ class SeedIndex:
         width = np.int64(1) << np.int64(32)
         pair = doc * len(self.ids) + item
         key, n = np.unique(pair * width + (shift + (width >> np.int64(1))), return_counts=True)
-        key, n = key[n >= LEAST_HITS], n[n >= LEAST_HITS]
+        key, n = key[n >= self.least_hits], n[n >= self.least_hits]
         pair, shift = np.divmod(key, width)
         shift -= width >> np.int64(1)
         first = np.flatnonzero(np.diff(pair, prepend=-1))
         if not len(first):
             return []
-        total = np.add.reduceat(n, first)
         d, i = np.divmod(pair[first], len(self.ids))
         ends = np.append(first[1:], len(pair))
-        good = np.flatnonzero(total * self.stride >= HITS_PER_CHAR * share * self.sizes[i])
+        if self.tolerant:
+            reach, need = np.add.reduceat(n, first), HITS_PER_CHAR * share * self.sizes[i]
+        else:  # so many characters the passages of a shift can have at most
+            most = self.stride * n / len(self.masks) + (self.span + self.stride - 2) * (n // self.least_hits)
+            reach, need = np.add.reduceat(most, first), share * self.sizes[i]
+        good = np.flatnonzero(reach >= need)
         return [(int(d[g]), int(i[g]), shift[first[g] : ends[g]]) for g in good]
 
     def shares(self, item: int, text: np.ndarray, shifts: np.ndarray) -> tuple[float, float]:
