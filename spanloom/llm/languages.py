@@ -21,15 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread, stage_table
+from ..session import stage_table
 from . import encoding
-from .sampling import bounded_sample
 
 #: Codes of the languages told apart; a mask has one bit for each (fixed values).
 LANGUAGES = tuple("en de fr es it pt nl pl ru ar hi th ja zh ko".split())
-#: Labelled documents that the filters are fitted on (the bound of the sample).
-FIT_DOCS = 4_000
-ROWS_LOG2, HASHES = 20, 3
+#: Places of the filters, of one size for every corpus (8 MB), and their hashes.
+ROWS_LOG2, HASHES = 22, 3
+#: n-grams that a partition counts before it hands them on, and tokens and n-grams whose answers a worker remembers.
+COUNTED, KEPT = 500_000, 200_000
+#: Places that one task packs for the driver (as a power of 2).
+SEGMENT = 18
 #: An n-gram belongs to a language that shows it in at least this part of the share of texts in which the likeliest language does.
 KEPT_SHARE = 0.25
 #: Hits that a change of language must win: between sentences, and between clauses within one.
@@ -80,6 +82,40 @@ def _tokens(text: str) -> list[str]:
     return _TOKEN.findall(_clean(text.lower()))
 
 
+class GramCounter:
+    """Texts with each n-gram by language; the n-gram "" counts the texts."""
+
+    def __init__(self):
+        self.by: dict[str, Counter] = {}
+        self.kept: dict[str, list[str]] = {}
+
+    def add(self, code: str, text: str | None) -> None:
+        kept, grams = self.kept, {""}
+        if len(kept) > KEPT:
+            kept.clear()
+        for t in set(_tokens(text or "")):
+            known = kept.get(t)
+            if known is None:
+                known = ngrams(t)
+                if not _DENSE.match(t):  # runs without blanks hardly recur
+                    kept[t] = known
+            grams.update(known)
+        self.by.setdefault(code, Counter()).update(grams)
+
+    def full(self) -> bool:
+        return sum(map(len, self.by.values())) > COUNTED
+
+    def rows(self, sign: int = 1) -> pa.RecordBatch:
+        """The counts as rows (gram, code, n), n times ``sign``; begins anew."""
+        by, self.by = self.by, {}
+        grams, codes, n = [], [], []
+        for code, c in by.items():
+            grams += c.keys()
+            codes += [code] * len(c)
+            n += [sign * x for x in c.values()]
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(codes, pa.string()), pa.array(n, pa.int64())], ["gram", "code", "n"])
+
+
 def _places(gram: str) -> list[int]:
     h = xxhash.xxh3_128_intdigest(gram)
     return [(h >> (ROWS_LOG2 * k)) & ((1 << ROWS_LOG2) - 1) for k in range(HASHES)]
@@ -89,13 +125,25 @@ class LanguageFilters:
     """The bit-sliced filters: ``rows[p]`` has the bits of all languages whose filter has place p set."""
 
     def __init__(self, rows: np.ndarray):
-        self.rows = rows
+        self.rows, self.known = rows, {}
         bits = (rows[:, None] >> np.arange(len(LANGUAGES), dtype=np.uint16)) & 1
         self.false = bits.mean(0) ** HASHES
 
     def masks(self, grams: list[str]) -> np.ndarray:
-        places = np.array([_places(g) for g in grams], np.int64).reshape(-1, HASHES)
-        return np.bitwise_and.reduce(self.rows[places], axis=1)
+        known = self.known
+        if len(known) > KEPT:
+            known.clear()
+        fresh = [g for g in dict.fromkeys(grams) if g not in known]
+        if fresh:
+            places = np.array([_places(g) for g in fresh], np.int64)
+            known.update(zip(fresh, np.bitwise_and.reduce(self.rows[places], axis=1).tolist()))
+        return np.array([known[g] for g in grams], np.uint16)
+
+    def __getstate__(self):
+        return self.rows, self.false
+
+    def __setstate__(self, state) -> None:
+        (self.rows, self.false), self.known = state, {}
 
 
 class LanguageReader:
@@ -220,7 +268,7 @@ class LanguageReader:
         """(language, confidence, start, end) of each stretch; a garbled text has no offsets, as those of the repaired text would not fit it."""
         if not text:
             return []
-        if len(self.kept) > 200_000:
+        if len(self.kept) > KEPT:
             self.kept.clear()
         # whatever its path: a clean rest says nothing about a short garbled stretch
         as_meant = self.repairer.repair(text)[0] if self.repairer is not None else text
@@ -230,54 +278,86 @@ class LanguageReader:
         return [(*x, s, e) for x, s, e in zip(out, starts, [*starts[1:], len(text)])]
 
 
-def fit_filters(examples: DataFrame) -> LanguageFilters:
-    """Filters of (code, text): n-grams are counted by language on the workers, and their bits set there; the driver gets the filters' rows.
+GRAMS = "gram string, code string, n bigint"
 
-    An n-gram must be in two texts of a language at least.
-    """
+
+def count_grams(examples: DataFrame) -> DataFrame:
+    """(gram, code, n) of (code, text): texts of each language with each n-gram; the n-gram "" counts the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
+        c = GramCounter()
         for b in batches:
             for code, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n.update((g, code) for g in {"", *(g for t in set(_tokens(text)) for g in ngrams(t))})
-        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in n], pa.string()), pa.array([c for _, c in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["gram", "code", "n"])
+                c.add(code, text)
+                if c.full():
+                    yield c.rows()
+        yield c.rows()
+
+    return examples.select("code", "text").mapInArrow(count, GRAMS).groupBy("gram", "code").agg(F.sum("n").alias("n"))
+
+
+def filters_of(counts: DataFrame) -> LanguageFilters:
+    """Filters of (gram, code, n): their bits are set on the workers; the driver gets the filters' rows.
+
+    An n-gram must be in two texts of a language at least.
+    """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = np.array([_places(g) for g in b.column(0).to_pylist()], np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.repeat(b.column(1).to_numpy(), HASHES))], ["place", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array((at >> SEGMENT).astype(np.int32)), pa.array((at & ((1 << SEGMENT) - 1)).astype(np.int32)), pa.array(np.repeat(b.column(1).to_numpy(), HASHES))], ["segment", "place", "mask"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column(1):
+                rows = np.zeros(1 << SEGMENT, np.uint16)
+                rows[x.values.field(0).to_numpy()] = x.values.field(1).to_numpy()
+                out.append(rows.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["segment", "bits"])
 
-    counts = stage_table(examples.select("code", "text").mapInArrow(count, "gram string, code string, n bigint").groupBy("gram", "code").agg(F.sum("n").alias("n")), "ngrams")
     docs = {r[0]: r[1] for r in counts.where("gram = ''").select("code", "n").collect()}  # one row for each language
     share = F.lit(0.0)
     bit = F.lit(0)
     for k, code in enumerate(LANGUAGES):
-        if code in docs:
+        if docs.get(code):
             share = F.when(F.col("code") == code, F.col("n") / F.lit(float(docs[code]))).otherwise(share)
             bit = F.when(F.col("code") == code, F.lit(1 << k)).otherwise(bit)
     x = counts.where("gram <> '' and n > 1").select("gram", F.struct(share.alias("share"), bit.alias("bit")).alias("x")).groupBy("gram").agg(F.max("x.share").alias("top"), F.collect_list("x").alias("by"))  # as many as languages
     mask = F.aggregate("by", F.lit(0), lambda a, y: a.bitwiseOR(F.when(y["share"] >= KEPT_SHARE * F.col("top"), y["bit"]).otherwise(0)))
+    places = x.select("gram", mask.alias("mask")).mapInArrow(place, "segment int, place int, mask int").groupBy("segment", "place").agg(F.bit_or("mask").alias("mask"))
+    segments = places.groupBy("segment").agg(F.collect_list(F.struct("place", "mask")).alias("places"))  # at most 2**SEGMENT places
     rows = np.zeros(1 << ROWS_LOG2, np.uint16)
-    got = x.select("gram", mask.alias("mask")).mapInArrow(place, "place bigint, mask int").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2**ROWS_LOG2 rows
-    rows[got["place"].to_numpy()] = got["mask"].to_numpy()
+    for k, part in segments.mapInArrow(pack, "segment int, bits binary").collect():  # the filters' bytes, whatever the number of n-grams
+        rows[k << SEGMENT : (k + 1) << SEGMENT] = np.frombuffer(part, np.uint16)
     return LanguageFilters(rows)
 
 
-def fit(docs: DataFrame, text_col: str = "raw_text", lang_col: str = "lang", bound: int = FIT_DOCS) -> LanguageFilters:
-    """Filters of at most ``bound`` labelled documents, taken by hash. A first round takes all labels as they are; the documents whose one language it finds is the one of the label make the second."""
+def fit_filters(examples: DataFrame) -> LanguageFilters:
+    """Filters of (code, text)."""
+    return filters_of(stage_table(count_grams(examples), "ngrams"))
+
+
+def fit(docs: DataFrame, text_col: str = "raw_text", lang_col: str = "lang") -> LanguageFilters:
+    """Filters of all labelled documents. A first round takes all labels as they are; of the documents whose one language it finds is the one of the label are the counts of the second: those of the others are taken off."""
     code = F.lower(F.split_part(F.regexp_replace(F.trim(lang_col), "[^A-Za-z]+", "-"), F.lit("-"), F.lit(1)))
     table = F.create_map(*[F.lit(x) for c in LANGUAGES for x in (c, c)], *[F.lit(x) for pair in NAMES.items() for x in pair])
-    rows = docs.where(f"trim(`{lang_col}`) <> ''").select(table[code].alias("code"), F.col(text_col).alias("text")).where("code is not null")
-    sample = stage_table(spread(bounded_sample(rows, bound, "text")), "labelled")
-    first = docs.sparkSession.sparkContext.broadcast(fit_filters(sample))
+    rows = docs.where(f"trim(`{lang_col}`) <> '' and `{text_col}` <> ''").select(table[code].alias("code"), F.col(text_col).alias("text")).where("code is not null")
+    counts = stage_table(count_grams(rows), "ngrams")  # an n-gram and language once
+    first = docs.sparkSession.sparkContext.broadcast(filters_of(counts))
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = LanguageReader(first.value)
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, c = LanguageReader(first.value), GramCounter()
         for b in batches:
-            yield b.filter(pa.array([[x for x, _ in reader.path(t)[0]] == [c] for c, t in zip(*(x.to_pylist() for x in b.columns))], pa.bool_()))
-
-    return fit_filters(stage_table(sample.mapInArrow(agree, "code string, text string"), "agreed"))
+            for code, text in zip(*(x.to_pylist() for x in b.columns)):
+                if [x for x, _ in reader.path(text)[0]] != [code]:
+                    c.add(code, text)
+                    if c.full():
+                        yield c.rows(-1)
+        yield c.rows(-1)
+
+    agreed = counts.unionByName(rows.mapInArrow(others, GRAMS)).groupBy("gram", "code").agg(F.sum("n").alias("n"))
+    return filters_of(stage_table(agreed.where("n > 0"), "agreed"))
 
 
 _READERS: dict[int, LanguageReader] = {}

@@ -342,6 +342,16 @@ def test_language_paths(spark, costs, filters):
     assert sorted(map(tuple, languages.mislabelled(got).select("doc_id", "seg_no", "lang").collect())) == [(2, 0, "en"), (3, 0, "de")]
 
 
+def test_filters_are_fitted_on_all_labelled_documents(spark):
+    rare = [f"seltenes{a}{b}{c}wort" for a in "bdfg" for b in "aeiou" for c in "klm"]
+    rows = [("en", CLEAN[0][1] + f" {k}") for k in range(6000)] + [("de", f"{CLEAN[1][1]} {rare[k % len(rare)]} {k}") for k in range(2 * len(rare))] + [("de", f"{CLEAN[0][1]} irrtum {k}") for k in range(2)]
+    docs = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(rows)], "doc_id bigint, raw_text string, lang string")
+    f = languages.fit(docs)
+    german = 1 << languages.LANGUAGES.index("de")
+    assert all(f.masks([f"^{w}$" for w in rare]) == german)
+    assert f.masks(["^irrtum$"])[0] == 0  # of documents whose label the first round does not confirm
+
+
 def test_short_garbled_stretches_of_long_texts_are_repaired(costs, filters):
     reader = languages.LanguageReader(filters, encoding.Repairer(costs))
     garbled = CLEAN[4][1].encode("cp1251").decode("koi8-r")
