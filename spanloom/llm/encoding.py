@@ -3,7 +3,7 @@
 A text is encoded again as it was wrongly decoded and decoded as it was meant; this is tried for pairs of encodings, and
 again on the result for nested layers. A repair is accepted where a garbling cost drops: the negative log share of texts
 that hold each pair of neighbouring characters, so that pairs no language writes are dear; the shares are counted over the
-whole corpus. Decoding is strict; where bytes were lost on the way, so that it fails, a tolerant decoding is tried and the
+whole corpus, and so are the garbled texts among them. Decoding is strict; where bytes were lost on the way, so that it fails, a tolerant decoding is tried and the
 repair is marked "with losses". UTF-8 sequences are repaired
 word by word, so half-garbled texts and texts with lost bytes are repaired where they can be; the other encodings
 sentence by sentence.
@@ -15,19 +15,19 @@ letters stay as they are.
 from __future__ import annotations
 
 import math
+import operator
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread, stage_table
-from .sampling import bounded_sample
+from ..session import stage_table
 
-#: Texts whose repairs tell which pairs come from garbled texts (the bound of a sample by hash; the pairs themselves are counted over all texts).
-FIT_TEXTS = 5_000
 #: Share of texts that is added to that of each pair, and the share below which a pair costs what an unseen one does.
 UNSEEN, LEAST_SHARE = 4e-5, 1e-6
 #: Share of texts with a pair at which a word is worth a closer look.
@@ -118,7 +118,7 @@ class CostModel:
         strange = 0.0
         if not t.isascii():
             strange = sum([12.0 for c in t if c > "\x7f" and ord(c) >> 7 not in self.blocks])
-        return strange + sum([get(a + b, top) for a, b in zip(t, t[1:])])
+        return strange + sum(map(get, map(operator.add, t, t[1:]), repeat(top)))
 
     def suspicious(self, text: str) -> bool:
         if text.isascii():
@@ -299,49 +299,81 @@ class Repairer:
         return pattern.sub(lambda m: changes.get(m.group(), m.group()), text)
 
 
-#: Pairs that a partition counts before it hands them on.
-COUNTED = 500_000
+#: Pairs that a partition counts before it hands them on, and characters that it looks at together.
+COUNTED, TOGETHER = 500_000, 1_000_000
+
+
+class PairCounter:
+    """Texts with each pair of neighbouring characters, a pair being one number; equal to counting ``CostModel.pairs`` of each text."""
+
+    BITS = 21
+
+    def __init__(self):
+        self.n: Counter = Counter()
+        self.texts, self.waiting, self.size = 0, [], 0
+
+    def add(self, text: str) -> None:
+        self.texts += 1
+        self.waiting.append(CostModel.plain(text))
+        self.size += len(self.waiting[-1])
+        if self.size > TOGETHER:
+            self.flush()
+
+    def flush(self) -> None:
+        texts, self.waiting, self.size = self.waiting, [], 0
+        if not texts:
+            return
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        inside = of[1:] == of[:-1]
+        # pair, then text: each text is one entry of a pair's run
+        keys = (((codes[:-1] << self.BITS) | codes[1:]) << self.BITS) | of[1:]
+        keys = np.sort(keys[inside])
+        pairs = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] >> self.BITS
+        pairs, n = np.unique(pairs, return_counts=True)
+        self.n.update(dict(zip(pairs.tolist(), n.tolist())))
+
+    def rows(self, known: dict[str, float] | None = None) -> pa.RecordBatch:
+        """The counts as rows (pair, n), of known pairs only if they are given, the pair "" being the number of texts; begins anew."""
+        self.flush()
+        low = (1 << self.BITS) - 1
+        n = {chr(k >> self.BITS) + chr(k & low): v for k, v in self.n.items()}
+        rows = {"": self.texts} | (n if known is None else {k: v for k, v in n.items() if k in known})
+        self.n, self.texts = Counter(), 0
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64())], ["pair", "n"])
 
 
 def _count_pairs(texts: DataFrame, text_col: str, model: CostModel | None = None) -> DataFrame:
-    """(pair, n, clean): texts with each pair, and those of them that the model doesn't repair. The pair "" counts the texts."""
+    """(pair, n): texts with each pair; with a model only the texts that it repairs, and the pairs that it knows. The pair "" counts the texts."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
 
-    def rows(n: Counter, bad: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([v - bad[k] for k, v in n.items()], pa.int64())], ["pair", "n", "clean"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        bad: Counter = Counter()
-        repairer = Repairer(sent.value) if sent.value is not None else None
+        model, counter = sent.value, PairCounter()
+        repairer = Repairer(model) if model is not None else None
+        known = model.cost if model is not None else None
         for b in batches:
             for t in b.column(0).to_pylist():
-                if t:
-                    pairs = {"", *CostModel.pairs(t)}
-                    n.update(pairs)
-                    if repairer is not None and repairer.repair(t)[1]:
-                        bad.update(pairs)
-                if len(n) > COUNTED:
-                    yield rows(n, bad)
-                    n.clear()
-                    bad.clear()
-        yield rows(n, bad)
-
-    return texts.select(text_col).mapInArrow(run, "pair string, n bigint, clean bigint").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
-
-
-def fit(texts: DataFrame, text_col: str = "text", bound: int = FIT_TEXTS) -> CostModel:
-    """Cost model of all texts. A first model repairs about ``bound`` texts, by hash of the row; what share of a pair's texts there is clean corrects its count over all."""
+                if t and (repairer is None or repairer.repair(t)[1]):
+                    counter.add(t)
+                if len(counter.n) > COUNTED:
+                    yield counter.rows(known)
+        yield counter.rows(known)
+
+    return texts.select(text_col).mapInArrow(run, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def fit(texts: DataFrame, text_col: str = "text") -> CostModel:
+    """Cost model of all texts. A first model tells the garbled ones, all of them; the shares of the second are those of texts that hold a pair and aren't garbled."""
     all_ = stage_table(_count_pairs(texts, text_col), "pairs")
-    total = all_.where("pair = ''").select("n").first()
-    if total is None:
+    total = (all_.where("pair = ''").select("n").first() or [0])[0]
+    if not total:
         return CostModel({})
-    often = all_.where((F.col("pair") != "") & (F.col("n") >= F.greatest(F.lit(2.0), F.lit(LEAST_SHARE * total[0]))))  # a table of the alphabets, not of the corpus
-    seen = {r[0]: r[1] / total[0] for r in often.select("pair", "n").collect()}
-    sample = spread(bounded_sample(texts, bound, text_col))
-    dirty = {r[0]: r[2] / r[1] for r in _count_pairs(sample, text_col, CostModel(seen, max(ODD_SHARE, 2 / total[0]))).where("clean < n").collect()}  # at most the pairs of the sample
-    clean = {k: v * dirty.get(k, 1.0) for k, v in seen.items()}
-    return CostModel({k: v for k, v in clean.items() if v >= max(LEAST_SHARE, 1.5 / total[0])}, max(ODD_SHARE, 2 / total[0]))
+    odd = max(ODD_SHARE, 2 / total)
+    often = all_.where((F.col("pair") != "") & (F.col("n") >= F.greatest(F.lit(2.0), F.lit(LEAST_SHARE * total))))  # a table of the alphabets, not of the corpus
+    n = {r[0]: r[1] for r in often.select("pair", "n").collect()}
+    garbled = {r[0]: r[1] for r in _count_pairs(texts, text_col, CostModel({k: v / total for k, v in n.items()}, odd)).collect()}  # pairs of that table
+    clean = {k: (v - garbled.get(k, 0)) / total for k, v in n.items()}
+    return CostModel({k: v for k, v in clean.items() if v >= max(LEAST_SHARE, 1.5 / total)}, odd)
 
 
 def repair_texts(docs: DataFrame, model: CostModel, id_col: str = "doc_id", text_col: str = "text", only_garbled: bool = True) -> DataFrame:

@@ -298,6 +298,34 @@ def test_costs_are_counted_over_all_texts(spark):
     assert encoding.fit(spark.createDataFrame([], "doc_id bigint, text string")).cost == {}
 
 
+def test_garbled_texts_are_told_over_all_texts(spark):
+    clean = [CLEAN[k % len(CLEAN)][1] for k in range(11_000)]
+    kinds = [(CLEAN[1][1], "utf-8", "cp1252"), (CLEAN[2][1], "utf-8", "mac_roman"), (CLEAN[4][1], "utf-8", "cp1251"), (CLEAN[4][1], "cp1251", "koi8-r"), (CLEAN[4][1], "koi8-r", "cp1251"), (CLEAN[4][1], "utf-8", "latin-1"), (CLEAN[6][1], "cp932", "latin-1"), (CLEAN[7][1], "utf-8", "mac_roman")]
+    bad = [t.encode(w).decode(r, "replace") for t, w, r in kinds for _ in range(2)]
+    ids = [r[0] for r in spark.range(100_000, 100_400).where("pmod(xxhash64(id), 1 << 30) > 900000000").limit(len(bad)).collect()]  # the last that a sample by hash takes
+    model = encoding.fit(spark.createDataFrame([*enumerate(clean), *zip(ids, bad)], "doc_id bigint, text string"))
+    assert len(ids) == len(bad)
+    written = {p for _, t in CLEAN for p in encoding.CostModel.pairs(t)}
+    for t in bad:
+        garbled = encoding.CostModel.pairs(t) - written
+        assert garbled and not garbled & model.cost.keys()  # whatever the hash of its row
+    assert written <= model.cost.keys()
+
+
+def test_pairs_are_counted_as_sets(monkeypatch):
+    monkeypatch.setattr(encoding, "TOGETHER", 100)
+    texts = [t for _, t in CLEAN] * 3 + ["aaaa", "x", "\n\n", "İ ß 😀😀 日本"]
+    counter = encoding.PairCounter()
+    for t in texts:
+        counter.add(t)
+    got = dict(zip(*counter.rows().to_pydict().values()))
+    want = {"": len(texts)}
+    for t in texts:
+        for p in encoding.CostModel.pairs(t):
+            want[p] = want.get(p, 0) + 1
+    assert got == want
+
+
 def test_lost_bytes_are_told(costs):
     r = encoding.Repairer(costs)
     text = CLEAN[6][1]
