@@ -251,6 +251,21 @@ def test_documents_without_labels_are_mixed_by_their_posteriors(spark):
     assert mixed.where("source is null").count() > 0
 
 
+@needs_vocabulary
+def test_short_is_told_by_labels_alone_and_rates_by_posteriors_too(spark, monkeypatch):
+    rng = random.Random(6)
+    words = {"a": ["alder", "birch", "cedar", "larch"], "b": ["iron", "zinc", "lead", "tin"]}
+    text = lambda s: " ".join(rng.choice(words[s]) for _ in range(30))
+    rows = [(k, "a", text("a")) for k in range(300)] + [(1000 + k, "b", text("b")) for k in range(60)] + [(2000 + k, None, text("b")) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r for r in mixture.mix(docs, targets)[1].collect()}
+    assert got["b"]["short"] and not got["b"]["at_cap"] and not got["a"]["short"]  # 2 x 60 of 180 wanted
+    monkeypatch.setattr(mixture, "bounded_sample", lambda df, *_: df.limit(0))  # a classifier that knows nothing
+    flat = {r["source"]: r for r in mixture.mix(docs, targets)[1].collect()}
+    assert flat["b"]["short"] and abs(flat["b"]["rate"] - got["b"]["rate"]) > 0.1
+
+
 # ---- P9, P1 ----
 
 CLEAN = [
