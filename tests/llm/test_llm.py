@@ -1,3 +1,4 @@
+import codecs
 import os
 import random
 
@@ -358,6 +359,29 @@ def test_nested_layers_and_texts_left_alone(costs):
         assert r.repair(t) == (t, [])
 
 
+def test_a_line_is_encoded_once_for_all_its_writings(costs, monkeypatch):
+    seen = []
+
+    def find(name):
+        if name == "counted":
+            return codecs.CodecInfo(lambda t, errors="strict": (seen.append(t), codecs.getencoder("cp949")(t, errors))[1], codecs.getdecoder("cp949"), name=name)
+
+    monkeypatch.setattr(encoding, "WIDE", [(b, "counted") for b in ("gb18030", "cp932", "big5")])
+    monkeypatch.setattr(encoding, "WIDE_READ", encoding.WIDE_READ | {"counted"})
+    codecs.register(find)
+    r, line = encoding.Repairer(costs), CLEAN[6][1].encode("gb18030").decode("cp949", "ignore")
+    r._fixes(line, r.lines)
+    codecs.unregister(find)
+    assert seen == [line]
+
+
+def test_parts_with_other_than_ascii_characters():
+    text = "Ünder … a. b… ऑ।\tc。d\r\nplain é. ."
+    assert encoding._parts(encoding._WORD, text) == ["Ünder", "…", "b…", "ऑ।", "c。d", "é."]
+    assert encoding._parts(encoding._PIECE, text) == ["Ünder …", " ऑ।", "plain é."]
+    assert encoding._parts(encoding._LINE, text) == ["Ünder … a. b… ऑ।\tc。d", "plain é. ."]
+
+
 def test_labels():
     assert [languages.label_code(x) for x in ("EN", "fra", "German", "pt-BR", "zh_Hans", " ", None, "und", "xx", "mul")] == ["en", "fr", "de", "pt", "zh", None, None, None, None, None]
 
