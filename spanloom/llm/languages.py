@@ -11,6 +11,7 @@ Defined results: null texts and texts without any known n-gram have language nul
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ LANGUAGES = tuple("en de fr es it pt nl pl ru ar hi th ja zh ko".split())
 ROWS_LOG2, HASHES = 22, 3
 #: n-grams that a partition counts before it hands them on, and tokens and n-grams whose answers a worker remembers.
 COUNTED, KEPT = 500_000, 200_000
+#: Tokens whose hits a worker adds up together.
+TOGETHER = 20_000
 #: Places that one task packs for the driver (as a power of 2).
 SEGMENT = 18
 #: An n-gram belongs to a language that shows it in at least this part of the share of texts in which the likeliest language does.
@@ -56,6 +59,12 @@ _ADDRESS = regex.compile(
 _MAY_ADDRESS = regex.compile(r"[@＠]|[\[(]at[\])]|://|\bat [\w-]+ dot\b", regex.I)
 _CLAUSE = regex.compile(r"(?<![.!?;…。！？；।|؟．])[.!?;…。！？；।|؟．]++[”“\"’»)\]」』）]*+(?=\s|[\p{Han}\p{Hiragana}\p{Katakana}])|[\r\n]++|\s/\s|(?<=\p{Thai})[^\S\r\n]+(?=\p{Latin}{2,}[^\S\r\n]+\p{Latin}{2,})|(?<=[\p{Latin}.!?][^\S\r\n])(?=\p{Thai}{8,})")
 _DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
+#: What every address of ``_ADDRESS`` has, and how far behind its beginning at most.
+_IN_ADDRESS, BEFORE = regex.compile(r"[@＠]|[\[(]at[\])]|://|(?<=[^\S\r\n])at(?=[^\S\r\n][\w-]+[^\S\r\n](?:dot|\(dot))", regex.I), 64
+#: The parts of ``_CLAUSE`` for texts without Thai.
+_THAI, _MARK = re.compile("[\u0e00-\u0e7f]"), re.compile("[.!?;…。！？；।|؟．\r\n/]")
+_MARKS, _CLOSING, _BLANKS = frozenset(".!?;…。！？；।|؟．"), frozenset("”“\"’»)]」』）"), frozenset("\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_BEHIND = regex.compile(r"[\s\p{Han}\p{Hiragana}\p{Katakana}]")
 
 
 def label_code(label: str | None) -> str | None:
@@ -75,7 +84,43 @@ def ngrams(token: str) -> list[str]:
 
 def _clean(t: str) -> str:
     """Text with blanks over what has no language."""
-    return _ADDRESS.sub(lambda m: " " * len(m.group()), t) if _MAY_ADDRESS.search(t) else t
+    if not _MAY_ADDRESS.search(t):
+        return t
+    out, at = [], 0
+    while m := _IN_ADDRESS.search(t, at):  # between addresses only what may begin one is read
+        m = _ADDRESS.search(t, max(at, m.start() - BEFORE))
+        if m is None:
+            break
+        out += t[at : m.start()], " " * len(m.group())
+        at = m.end()
+    return "".join(out) + t[at:] if out else t
+
+
+def _clause_ends(t: str) -> list[tuple[int, int]]:
+    """Where the matches of ``_CLAUSE`` begin and end."""
+    if _THAI.search(t):
+        return [m.span() for m in _CLAUSE.finditer(t)]
+    out, at, n = [], 0, len(t)
+    for m in _MARK.finditer(t):
+        first = m.start()
+        if first < at:
+            continue
+        mark, at = t[first], first + 1
+        if mark in _MARKS:
+            while at < n and t[at] in _MARKS:
+                at += 1
+            while at < n and t[at] in _CLOSING:
+                at += 1
+            if _BEHIND.match(t, at):
+                out.append((first, at))
+        elif mark != "/":
+            while at < n and t[at] in "\r\n":
+                at += 1
+            out.append((first, at))
+        elif first > (out[-1][1] if out else 0) and at < n and t[first - 1] in _BLANKS and t[at] in _BLANKS:
+            at += 1
+            out.append((first - 1, at))
+    return out
 
 
 def _tokens(text: str) -> list[str]:
@@ -90,16 +135,13 @@ class GramCounter:
         self.kept: dict[str, list[str]] = {}
 
     def add(self, code: str, text: str | None) -> None:
-        kept, grams = self.kept, {""}
+        kept = self.kept
         if len(kept) > KEPT:
             kept.clear()
-        for t in set(_tokens(text or "")):
-            known = kept.get(t)
-            if known is None:
-                known = ngrams(t)
-                if not _DENSE.match(t):  # runs without blanks hardly recur
-                    kept[t] = known
-            grams.update(known)
+        tokens = set(_tokens(text or ""))
+        new = {t: ngrams(t) for t in tokens.difference(kept)}
+        grams = {""}.union(*new.values(), *[kept[t] for t in tokens.difference(new)])
+        kept.update((t, x) for t, x in new.items() if not _DENSE.match(t))  # runs without blanks hardly recur
         self.by.setdefault(code, Counter()).update(grams)
 
     def full(self) -> bool:
@@ -116,9 +158,12 @@ class GramCounter:
         return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(codes, pa.string()), pa.array(n, pa.int64())], ["gram", "code", "n"])
 
 
-def _places(gram: str) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(gram)
-    return [(h >> (ROWS_LOG2 * k)) & ((1 << ROWS_LOG2) - 1) for k in range(HASHES)]
+def _places(grams: list[str]) -> np.ndarray:
+    """A row of places for each n-gram: the lowest bits of its digest, then the next ones."""
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, grams)), ">u8").astype(np.uint64).reshape(-1, 2)
+    high, low = h.T
+    parts = [low, low >> np.uint64(ROWS_LOG2), low >> np.uint64(2 * ROWS_LOG2) | high << np.uint64(64 - 2 * ROWS_LOG2)]
+    return (np.stack(parts, 1) & np.uint64((1 << ROWS_LOG2) - 1)).astype(np.int64)
 
 
 class LanguageFilters:
@@ -135,8 +180,7 @@ class LanguageFilters:
             known.clear()
         fresh = [g for g in dict.fromkeys(grams) if g not in known]
         if fresh:
-            places = np.array([_places(g) for g in fresh], np.int64)
-            known.update(zip(fresh, np.bitwise_and.reduce(self.rows[places], axis=1).tolist()))
+            known.update(zip(fresh, np.bitwise_and.reduce(self.rows[_places(fresh)], axis=1).tolist()))
         return np.array([known[g] for g in grams], np.uint16)
 
     def __getstate__(self):
@@ -182,100 +226,156 @@ class LanguageReader:
         return [known[t] for t in tokens]
 
     @staticmethod
-    def lowered(counts: np.ndarray) -> np.ndarray:
-        """Whether each clause counts in small letters, as its capitals don't set names apart: a long clause by its own words; a short one by the whole text, or with the clauses before or behind it if it and they are in capitals throughout."""
+    def lowered(counts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Whether each clause counts in small letters, as its capitals don't set names apart: a long clause by its own words; a short one by the whole text, or with the clauses before or behind it if it and they are in capitals throughout. firsts: the first clause of each text."""
         words, first, through, swapped = counts.T
-        whole = first.sum() > CAPITALS * words.sum() or swapped.sum() > SWAPPED * words.sum()
+        w, f, _, x = np.add.reduceat(counts, firsts, axis=0).T
+        ends = np.append(firsts[1:], len(words))
+        whole = np.repeat((f > CAPITALS * w) | (x > SWAPPED * w), ends - firsts)
         low = np.where(words >= TELLING, (first > CAPITALS * words) | (swapped > SWAPPED * words), whole)
         upper = through + swapped
         for k in np.flatnonzero((words < TELLING) & ~low & (upper > CAPITALS * words)):
+            text = np.searchsorted(firsts, k, "right") - 1
             for step in (1, -1):
                 n = u = 0.0
                 j = k
-                while n < TELLING and 0 <= j < len(words):
+                while n < TELLING and firsts[text] <= j < ends[text]:
                     n, u, j = n + words[j], u + upper[j], j + step
                 if n >= TELLING and u > CAPITALS * n:
                     low[k] = True
         return low
 
-    def clauses(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Hits of each clause, what a change of language costs at its beginning, and where it begins."""
+    @staticmethod
+    def split(text: str) -> tuple[list[str], list[int], list[float], list[int]]:
+        """Words, the first word of each clause, what a change of language costs at its beginning, and where it begins."""
         clean = _clean(text)
         words, firsts, costs, begins, at, cost = [], [], [], [], 0, CHANGE
-        for m in [*_CLAUSE.finditer(clean), None]:
-            tokens = _TOKEN.findall(clean, at, m.end() if m else len(clean))
+        for start, end in [*_clause_ends(clean), (None, len(clean))]:
+            tokens = _TOKEN.findall(clean, at, end)
             if tokens:
                 firsts.append(len(words))
                 costs.append(cost)
                 begins.append(at)
                 words += tokens
                 cost = CHANGE_INSIDE
-            if m:
-                at = m.end()
-                mark = m.group()[:1]
-                if mark not in (";", "；", "|") and not (mark in ("\r", "\n") and cost == CHANGE_INSIDE and clean[m.start() - 1 : m.start()] not in ".!?…。！？।؟-📎 "):
+            if start is not None:
+                at = end
+                mark = clean[start:end][:1]
+                if mark not in (";", "；", "|") and not (mark in ("\r", "\n") and cost == CHANGE_INSIDE and clean[start - 1 : start] not in ".!?…。！？।؟-📎 "):
                     cost = CHANGE
-        if not words:
-            return np.zeros((0, len(LANGUAGES) + 1)), np.zeros(0), []
+        return words, firsts, costs, begins
+
+    def hits(self, parts: list[tuple[list[str], list[int]]]) -> np.ndarray:
+        """Hits of the clauses of texts that have words, one text after the other: of each its words and the first word of each clause."""
+        words = [w for x, _ in parts for w in x]
+        sizes = np.array([len(x) for x, _ in parts])
+        n = np.array([len(f) for _, f in parts])
+        firsts = np.array([k for _, f in parts for k in f]) + np.repeat(np.cumsum(sizes) - sizes, n)
         ids = self.rows(words)
         h = np.add.reduceat(self.table[ids], firsts, axis=0)
-        for c in np.flatnonzero(self.lowered(h[:, -4:])):
-            part = words[firsts[c] : firsts[c + 1] if c + 1 < len(firsts) else None]
-            ids = self.rows([t.lower() for t in part])
-            h[c] = self.table[ids].sum(0)
+        if low := np.flatnonzero(self.lowered(h[:, -4:], np.cumsum(n) - n)).tolist():
+            ends = [*firsts[1:].tolist(), len(words)]
+            own = [[t.lower() for t in words[firsts[c] : ends[c]]] for c in low]
+            ids = self.rows([t for x in own for t in x])
+            h[low] = np.add.reduceat(self.table[ids], np.cumsum([0, *map(len, own[:-1])]), axis=0)
         h = h[:, :-4]
         # clauses of names and codes are known by no language; they count for less
         h[:, :-1] *= np.clip((h[:, :-1].max(1) / np.maximum(1, h[:, -1]) - 0.5) / 0.4, 0, 1)[:, None]
-        return h, np.array(costs), begins
+        return h
 
-    def path(self, text: str) -> tuple[list[tuple[str, float]], list[int]]:
-        """(language, confidence) of each stretch, and where each begins, the first at 0."""
-        h, costs, begins = self.clauses(text)
-        if not len(h) or not h[:, :-1].any():
-            return [], []
-        gain = h[:, :-1]
-        whole = int(gain.sum(0).argmax())
-        if (gain.max(1) - gain[:, whole]).sum() < CHANGE:
-            state = [whole] * len(gain)
-        else:
-            best, back = gain[0].copy(), []
-            for k in range(1, len(gain)):
-                top = int(best.argmax())
-                change = best[top] - costs[k]
-                stay = best >= change
-                back.append(np.where(stay, np.arange(len(best)), top))
-                best = np.where(stay, best, change) + gain[k]
-            state = [int(best.argmax())]
-            for b in reversed(back):
-                state.append(int(b[state[-1]]))
-            state.reverse()
+    def clauses(self, text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Hits of each clause, what a change of language costs at its beginning, and where it begins."""
+        words, firsts, costs, begins = self.split(text)
+        if not words:
+            return np.zeros((0, len(LANGUAGES) + 1)), np.zeros(0), []
+        return self.hits([(words, firsts)]), np.array(costs), begins
+
+    def paths(self, texts: Iterable[str]) -> Iterator[tuple[list[tuple[str, float]], list[int]]]:
+        """(language, confidence) of each stretch of each text, and where each begins, the first at 0."""
+        waiting, size = [], 0
+        for t in texts:
+            waiting.append(self.split(t))
+            size += len(waiting[-1][0])
+            if size > TOGETHER:
+                yield from self._paths(waiting)
+                waiting, size = [], 0
+        yield from self._paths(waiting)
+
+    def _paths(self, parts: list[tuple[list[str], list[int], list[float], list[int]]]) -> Iterator[tuple[list[tuple[str, float]], list[int]]]:
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        some = [x for x in parts if x[0]]
+        if not some:
+            yield from [([], []) for _ in parts]
+            return
+        gains = self.hits([x[:2] for x in some])[:, :-1]
+        n = np.array([len(x[1]) for x in some])
+        firsts = np.cumsum(n) - n
+        sums = np.add.reduceat(gains, firsts, axis=0)
+        whole = sums.argmax(1)
+        lost = np.add.reduceat(gains.max(1) - gains[np.arange(len(gains)), np.repeat(whole, n)], firsts)
+        k = 0
+        for _, clauses, costs, begins in parts:
+            if not clauses:
+                yield [], []
+                continue
+            part, top, f = sums[k], int(whole[k]), firsts[k]
+            if not part[top]:
+                yield [], []
+            elif lost[k] < CHANGE:
+                yield [self._stretch(part, top)], [0]
+            else:
+                yield self._best(gains[f : f + len(clauses)], costs, begins)
+            k += 1
+
+    @staticmethod
+    def _stretch(part: np.ndarray, state: int) -> tuple[str, float]:
+        top = part[state]
+        part[state] = 0
+        return LANGUAGES[state], float(max(0.0, top - part.max()) / max(1.0, top))
+
+    def _best(self, gain: np.ndarray, costs: list[float], begins: list[int]) -> tuple[list[tuple[str, float]], list[int]]:
+        """The best path over the clauses of one text."""
+        best, back = gain[0].copy(), []
+        for k in range(1, len(gain)):
+            top = int(best.argmax())
+            change = best[top] - costs[k]
+            stay = best >= change
+            back.append(np.where(stay, np.arange(len(best)), top))
+            best = np.where(stay, best, change) + gain[k]
+        state = [int(best.argmax())]
+        for b in reversed(back):
+            state.append(int(b[state[-1]]))
+        state.reverse()
         out, starts, first = [], [], 0
         for k in range(1, len(state) + 1):
             if k == len(state) or state[k] != state[first]:
-                part = gain[first:k].sum(0)
-                top = part[state[first]]
-                part[state[first]] = 0
-                out.append((LANGUAGES[state[first]], float(max(0.0, top - part.max()) / max(1.0, top))))
+                out.append(self._stretch(gain[first:k].sum(0), state[first]))
                 starts.append(begins[first] if first else 0)
                 first = k
         return out, starts
 
+    def path(self, text: str) -> tuple[list[tuple[str, float]], list[int]]:
+        """(language, confidence) of each stretch, and where each begins, the first at 0."""
+        return next(self.paths([text]))
+
     def read(self, text: str | None) -> list[tuple[str, float]]:
         """(language, confidence) of each stretch of the text as it was before any wrong decoding."""
         return [x[:2] for x in self.stretches(text)]
 
     def stretches(self, text: str | None) -> list[tuple[str, float, int | None, int | None]]:
         """(language, confidence, start, end) of each stretch; a garbled text has no offsets, as those of the repaired text would not fit it."""
-        if not text:
-            return []
-        if len(self.kept) > KEPT:
-            self.kept.clear()
+        return next(self.all_stretches([text]))
+
+    def all_stretches(self, texts: list[str | None]) -> Iterator[list[tuple[str, float, int | None, int | None]]]:
+        """The stretches of each text."""
         # whatever its path: a clean rest says nothing about a short garbled stretch
-        as_meant = self.repairer.repair(text)[0] if self.repairer is not None else text
-        out, starts = self.path(as_meant)
-        if as_meant != text:
-            return [(*x, None, None) for x in out]
-        return [(*x, s, e) for x, s, e in zip(out, starts, [*starts[1:], len(text)])]
+        as_meant = [self.repairer.repair(t)[0] if t and self.repairer is not None else t or "" for t in texts]
+        for text, meant, (out, starts) in zip(texts, as_meant, self.paths(as_meant)):
+            if meant != (text or ""):
+                yield [(*x, None, None) for x in out]
+            else:
+                yield [(*x, s, e) for x, s, e in zip(out, starts, [*starts[1:], len(meant)])]
 
 
 GRAMS = "gram string, code string, n bigint"
@@ -304,7 +404,7 @@ def filters_of(counts: DataFrame) -> LanguageFilters:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.array([_places(g) for g in b.column(0).to_pylist()], np.int64).ravel()
+            at = _places(b.column(0).to_pylist()).ravel()
             yield pa.RecordBatch.from_arrays([pa.array((at >> SEGMENT).astype(np.int32)), pa.array((at & ((1 << SEGMENT) - 1)).astype(np.int32)), pa.array(np.repeat(b.column(1).to_numpy(), HASHES))], ["segment", "place", "mask"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,8 +449,9 @@ def fit(docs: DataFrame, text_col: str = "raw_text", lang_col: str = "lang") ->
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, c = LanguageReader(first.value), GramCounter()
         for b in batches:
-            for code, text in zip(*(x.to_pylist() for x in b.columns)):
-                if [x for x, _ in reader.path(text)[0]] != [code]:
+            codes, texts = (x.to_pylist() for x in b.columns)
+            for code, text, (path, _) in zip(codes, texts, reader.paths(texts)):
+                if [x for x, _ in path] != [code]:
                     c.add(code, text)
                     if c.full():
                         yield c.rows(-1)
@@ -382,8 +483,9 @@ def label_documents(docs: DataFrame, filters: LanguageFilters, costs: encoding.C
         reader = _reader(*sent.value)
         for b in batches:
             at, rows = [], []
-            for k, (t, label) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                path = reader.stretches(t) or [(None, 0.0, None, None)]
+            texts = b.column(1).to_pylist()
+            for k, (t, label, path) in enumerate(zip(texts, b.column(2).to_pylist(), reader.all_stretches(texts))):
+                path = path or [(None, 0.0, None, None)]
                 n = len(letters.findall(t)) if t else 0
                 code = label_code(label)
                 at += [k] * len(path)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 import regex
+import xxhash
 
 from spanloom.llm import duplicates, encoding, languages, leaks, mixture, pieces, pii, pseudonyms, sentences, tokens
 
@@ -427,6 +428,39 @@ def test_short_garbled_stretches_of_long_texts_are_repaired(costs, filters):
         assert [x for x, _ in reader.read(f"{rest}\n{garbled}\n{rest}")] == ["en", "ru", "en"]
 
 
+def test_clauses_and_addresses_equal_their_patterns():
+    rng = random.Random(3)
+    marks = ["."] * 4 + list("!…。;|؟\"»)\r\n/ \t\u3000\x1cA7市ひ") + [" / ", "\n/ ", "b@c", "@", "[at]", " at dep dot x", "\u00a0at\u00a0dep\u00a0(dot", "https://", "Ab.c", "x" * 59, "-", "ก" * 9, " my ab", "\n"]
+    for k in range(6000):
+        t = "".join(rng.choices(marks[: len(marks) - 3 * (k % 4 > 0)], k=rng.randrange(40)))
+        assert languages._clause_ends(t) == [m.span() for m in languages._CLAUSE.finditer(t)]
+        want = languages._ADDRESS.sub(lambda m: " " * len(m.group()), t) if languages._MAY_ADDRESS.search(t) else t
+        assert languages._clean(t) == want
+
+
+def test_blocks_of_texts_are_read_together(costs, filters, monkeypatch):
+    upper = CLEAN[1][1].upper()
+    texts = [*[t for _, t in CLEAN], None, "", "12 34", f"{CLEAN[0][1]}\n{upper}\n{CLEAN[4][1]}", f"ab. {upper} cd. EF. gh", CLEAN[4][1].encode("cp1251").decode("koi8-r"), *[f"{CLEAN[0][1]}\n{t}" for _, t in CLEAN]] * 2
+    one = languages.LanguageReader(filters, encoding.Repairer(costs))
+    want = [one.stretches(t) for t in texts]
+    for together in (60, 10**6):
+        monkeypatch.setattr(languages, "TOGETHER", together)
+        reader, added = languages.LanguageReader(filters, encoding.Repairer(costs)), []
+        add = reader.add
+        monkeypatch.setattr(reader, "add", lambda tokens: (added.append(len(tokens)), add(tokens)))
+        got = list(reader.all_stretches(texts))
+        assert [[(x[0], *x[2:]) for x in y] for y in got] == [[(x[0], *x[2:]) for x in y] for y in want]
+        assert [x[1] for y in got for x in y] == pytest.approx([x[1] for y in want for x in y])
+    assert len(added) <= 2  # words as they are, then those of clauses in capitals, whatever the number of texts
+
+
+def test_places_are_the_lowest_bits_of_the_digest():
+    grams = ["^a", "市", "^Straße$"]
+    h = [xxhash.xxh3_128_intdigest(g) for g in grams]
+    assert languages._places(grams).tolist() == [[x >> (22 * k) & (1 << 22) - 1 for k in range(3)] for x in h]
+    assert languages._places([]).shape == (0, 3)
+
+
 def test_capitals_are_judged_by_stretch(filters):
     reader = languages.LanguageReader(filters)
     ordinary, german = " ".join([CLEAN[0][1]] * 8), CLEAN[1][1]
