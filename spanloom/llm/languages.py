@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ LANGUAGES = tuple("en de fr es it pt nl pl ru ar hi th ja zh ko".split())
 ROWS_LOG2, HASHES = 22, 3
 #: n-grams that a partition counts before it hands them on, and tokens and n-grams whose answers a worker remembers.
 COUNTED, KEPT = 500_000, 200_000
-#: Tokens whose hits a worker adds up together.
-TOGETHER = 20_000
+#: Tokens whose hits a worker adds up together, and n-grams that it sorts together.
+TOGETHER, SORTED = 20_000, 500_000
 #: Places that one task packs for the driver (as a power of 2).
 SEGMENT = 18
 #: An n-gram belongs to a language that shows it in at least this part of the share of texts in which the likeliest language does.
@@ -64,7 +64,20 @@ _IN_ADDRESS, BEFORE = regex.compile(r"[@＠]|[\[(]at[\])]|://|(?<=[^\S\r\n])at(?
 #: The parts of ``_CLAUSE`` for texts without Thai.
 _THAI, _MARK = re.compile("[\u0e00-\u0e7f]"), re.compile("[.!?;…。！？；।|؟．\r\n/]")
 _MARKS, _CLOSING, _BLANKS = frozenset(".!?;…。！？；।|؟．"), frozenset("”“\"’»)]」』）"), frozenset("\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_MAY_AT = re.compile(r"[@＠]|://|[aA][tT][\]) ]")  # in whatever ``_MAY_ADDRESS`` finds
 _BEHIND = regex.compile(r"[\s\p{Han}\p{Hiragana}\p{Katakana}]")
+_LETTERS = regex.compile(r"\p{L}+").findall
+
+
+def _class(pattern: str) -> str:
+    """The characters of the first plane that a pattern matches, as ranges of a class."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    return "".join(f"{re.escape(x[0])}-{re.escape(x[-1])}" for x in regex.findall(f"(?:{pattern})+", plane))
+
+
+#: Tokens of texts that have nothing but words of letters and marks of the first plane, which are most, and what the others have.
+_WORD = re.compile("[{0}]+(?:['’][{0}]+)*".format(_class(r"[\p{L}\p{M}]")))
+_OTHER = re.compile("[" + _class(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー々]") + "\U00010000-\U0010ffff]")
 
 
 def label_code(label: str | None) -> str | None:
@@ -84,7 +97,7 @@ def ngrams(token: str) -> list[str]:
 
 def _clean(t: str) -> str:
     """Text with blanks over what has no language."""
-    if not _MAY_ADDRESS.search(t):
+    if not _MAY_AT.search(t) or not _MAY_ADDRESS.search(t):
         return t
     out, at = [], 0
     while m := _IN_ADDRESS.search(t, at):  # between addresses only what may begin one is read
@@ -123,39 +136,75 @@ def _clause_ends(t: str) -> list[tuple[int, int]]:
     return out
 
 
+def _finder(text: str) -> Callable[..., list[str]]:
+    """What finds the tokens of ``_TOKEN`` in a text soonest."""
+    return (_TOKEN if _OTHER.search(text) else _WORD).findall
+
+
 def _tokens(text: str) -> list[str]:
-    return _TOKEN.findall(_clean(text.lower()))
+    clean = _clean(text.lower())
+    return _finder(clean)(clean)
 
 
 class GramCounter:
-    """Texts with each n-gram by language; the n-gram "" counts the texts."""
+    """Texts with each n-gram by language; the n-gram "" counts the texts. n-grams are numbered, those of many texts sorted together."""
 
     def __init__(self):
-        self.by: dict[str, Counter] = {}
-        self.kept: dict[str, list[str]] = {}
+        self.kept: dict[str, np.ndarray] = {}
+        self.begin()
+
+    def begin(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.kept.clear()
+        self.texts: Counter = Counter()
+        self.waiting: list[np.ndarray] = []
+        self.of: list[tuple[int, int]] = []  # language and n-grams of each waiting text
+        self.size = 0
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, code: str, text: str | None) -> None:
         kept = self.kept
         if len(kept) > KEPT:
             kept.clear()
-        tokens = set(_tokens(text or ""))
-        new = {t: ngrams(t) for t in tokens.difference(kept)}
-        grams = {""}.union(*new.values(), *[kept[t] for t in tokens.difference(new)])
-        kept.update((t, x) for t, x in new.items() if not _DENSE.match(t))  # runs without blanks hardly recur
-        self.by.setdefault(code, Counter()).update(grams)
+        self.texts[code] += 1
+        tokens, once, ids = set(_tokens(text or "")), {}, self.ids
+        for t in tokens.difference(kept):
+            # runs without blanks hardly recur
+            (once if _DENSE.match(t) else kept)[t] = np.array([ids.setdefault(g, len(ids)) for g in ngrams(t)], np.int64)
+        tokens.difference_update(once)
+        found = [*map(kept.__getitem__, tokens), *once.values()]
+        n = sum(map(len, found))
+        self.waiting += found
+        self.of.append((LANGUAGES.index(code), n))
+        self.size += n
+        if self.size > SORTED:
+            self.flush()
+
+    def flush(self) -> None:
+        waiting, of, self.waiting, self.of, self.size = self.waiting, self.of, [], [], 0
+        if not waiting:
+            return
+        codes, sizes = np.array(of).T
+        # text, then n-gram: each n-gram counts once for a text
+        keys = np.sort(np.repeat(np.arange(len(of)) << 32, sizes) | np.concatenate(waiting))
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        keys = np.sort(codes[keys >> 32] << 32 | keys & 0xFFFFFFFF)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, n = np.concatenate([self.keys, keys[first]]), np.concatenate([self.n, np.diff(first, append=len(keys))])
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.n = np.bincount(at, n).astype(np.int64)
 
     def full(self) -> bool:
-        return sum(map(len, self.by.values())) > COUNTED
+        return max(len(self.keys), len(self.ids)) > COUNTED
 
     def rows(self, sign: int = 1) -> pa.RecordBatch:
         """The counts as rows (gram, code, n), n times ``sign``; begins anew."""
-        by, self.by = self.by, {}
-        grams, codes, n = [], [], []
-        for code, c in by.items():
-            grams += c.keys()
-            codes += [code] * len(c)
-            n += [sign * x for x in c.values()]
-        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(codes, pa.string()), pa.array(n, pa.int64())], ["gram", "code", "n"])
+        self.flush()
+        grams = pa.array([*self.ids, ""], pa.string()).take(np.append(self.keys & 0xFFFFFFFF, [len(self.ids)] * len(self.texts)).astype(np.int64))
+        codes = pa.array(LANGUAGES, pa.string()).take(np.append(self.keys >> 32, [LANGUAGES.index(c) for c in self.texts]).astype(np.int64))
+        n = sign * np.append(self.n, list(self.texts.values())).astype(np.int64)
+        self.begin()
+        return pa.RecordBatch.from_arrays([grams, codes, pa.array(n)], ["gram", "code", "n"])
 
 
 def _places(grams: list[str]) -> np.ndarray:
@@ -249,9 +298,10 @@ class LanguageReader:
     def split(text: str) -> tuple[list[str], list[int], list[float], list[int]]:
         """Words, the first word of each clause, what a change of language costs at its beginning, and where it begins."""
         clean = _clean(text)
+        find = _finder(clean)
         words, firsts, costs, begins, at, cost = [], [], [], [], 0, CHANGE
         for start, end in [*_clause_ends(clean), (None, len(clean))]:
-            tokens = _TOKEN.findall(clean, at, end)
+            tokens = find(clean, at, end)
             if tokens:
                 firsts.append(len(words))
                 costs.append(cost)
@@ -476,7 +526,6 @@ def _reader(filters: LanguageFilters, costs: encoding.CostModel | None) -> Langu
 def label_documents(docs: DataFrame, filters: LanguageFilters, costs: encoding.CostModel | None = None, id_col: str = "doc_id", text_col: str = "raw_text", lang_col: str = "lang") -> DataFrame:
     """(id, seg_no, lang, confidence, start_char, end_char, label, n_letters, n_segments) of every document; documents without known words have one row with lang null, and garbled ones no offsets."""
     sent = docs.sparkSession.sparkContext.broadcast((filters, costs))
-    letters = regex.compile(r"\p{L}")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,7 +535,7 @@ def label_documents(docs: DataFrame, filters: LanguageFilters, costs: encoding.C
             texts = b.column(1).to_pylist()
             for k, (t, label, path) in enumerate(zip(texts, b.column(2).to_pylist(), reader.all_stretches(texts))):
                 path = path or [(None, 0.0, None, None)]
-                n = len(letters.findall(t)) if t else 0
+                n = sum(map(len, _LETTERS(t))) if t else 0
                 code = label_code(label)
                 at += [k] * len(path)
                 rows += [(j, *x, code, n, len(path)) for j, x in enumerate(path)]

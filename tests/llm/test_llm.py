@@ -436,6 +436,7 @@ def test_clauses_and_addresses_equal_their_patterns():
         assert languages._clause_ends(t) == [m.span() for m in languages._CLAUSE.finditer(t)]
         want = languages._ADDRESS.sub(lambda m: " " * len(m.group()), t) if languages._MAY_ADDRESS.search(t) else t
         assert languages._clean(t) == want
+        assert languages._finder(t)(t) == languages._TOKEN.findall(t)
 
 
 def test_blocks_of_texts_are_read_together(costs, filters, monkeypatch):
@@ -454,6 +455,20 @@ def test_blocks_of_texts_are_read_together(costs, filters, monkeypatch):
     assert len(added) <= 2  # words as they are, then those of clauses in capitals, whatever the number of texts
 
 
+def test_ngrams_are_counted_as_sets(monkeypatch):
+    monkeypatch.setattr(languages, "SORTED", 300)
+    counter, want = languages.GramCounter(), {}
+    texts = [*CLEAN, *CLEAN, ("en", None), ("de", ""), ("ja", "市 12"), ("en", "a a b𝒳c d'É naïve"), ("de", CLEAN[0][1])]
+    for code, text in texts:
+        counter.add(code, text)
+        for g in {"", *[g for t in languages._TOKEN.findall((text or "").lower()) for g in languages.ngrams(t)]}:
+            want[g, code] = want.get((g, code), 0) + 1
+    assert len(counter.kept) == len({t for t in counter.kept if not languages._DENSE.match(t)}) > 0
+    rows = counter.rows(-1).to_pylist()
+    assert {(r["gram"], r["code"]): -r["n"] for r in rows} == want and len(rows) == len(want)
+    assert counter.rows().num_rows == 0 and not counter.full()
+
+
 def test_places_are_the_lowest_bits_of_the_digest():
     grams = ["^a", "市", "^Straße$"]
     h = [xxhash.xxh3_128_intdigest(g) for g in grams]
