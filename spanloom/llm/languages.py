@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,11 +65,25 @@ _IN_ADDRESS, BEFORE = regex.compile(r"[@＠]|[\[(]at[\])]|://|(?<=[^\S\r\n])at(?
 #: The parts of ``_CLAUSE`` for texts without Thai.
 _THAI, _MARK = re.compile("[\u0e00-\u0e7f]"), re.compile("[.!?;…。！？；।|؟．\r\n/]")
 _MARKS, _CLOSING, _BLANKS = frozenset(".!?;…。！？；।|؟．"), frozenset("”“\"’»)]」』）"), frozenset("\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
-_MAY_AT = re.compile(r"[@＠]|://|[aA][tT][\]) ]")  # in whatever ``_MAY_ADDRESS`` finds
-_BEHIND = regex.compile(r"[\s\p{Han}\p{Hiragana}\p{Katakana}]")
+_MAY_AT = re.compile(r"[aA][tT](?:[\])]| [^ ]+ [dD][oO][tT])")  # in what ``_MAY_ADDRESS`` finds, where it isn't one of the next
+_ADDRESS_MARKS = ("@", "＠", "://")
 _LETTERS = regex.compile(r"\p{L}+").findall
 
 
+class _Matches(dict):
+    """Whether a character matches a pattern, by character."""
+
+    def __init__(self, pattern: regex.Pattern):
+        self.match = pattern.match
+
+    def __missing__(self, c: str) -> bool:
+        found = self[c] = self.match(c) is not None
+        return found
+
+
+_BEHIND, _UNSPACED = _Matches(regex.compile(r"[\s\p{Han}\p{Hiragana}\p{Katakana}]")), _Matches(_DENSE)
+
+
 def _class(pattern: str) -> str:
     """The characters of the first plane that a pattern matches, as ranges of a class."""
     plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
@@ -80,6 +95,7 @@ _WORD = re.compile("[{0}]+(?:['’][{0}]+)*".format(_class(r"[\p{L}\p{M}]")))
 _OTHER = re.compile("[" + _class(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー々]") + "\U00010000-\U0010ffff]")
 
 
+@lru_cache(10_000)
 def label_code(label: str | None) -> str | None:
     """Two-letter code that a label names, whatever its case, length, region or script; null if it names none of the known."""
     head = regex.split(r"[^A-Za-z]+", (label or "").strip())[0].lower()
@@ -88,7 +104,7 @@ def label_code(label: str | None) -> str | None:
 
 def ngrams(token: str) -> list[str]:
     """n-grams of one token: of two and one characters in scripts without blanks, else of three and five with the ends marked, and the token."""
-    if _DENSE.match(token):
+    if _UNSPACED[token[:1]]:
         size = (1, 2) if not "฀" <= token[0] <= "๿" else (3, 5)
         return [token[k : k + n] for n in size for k in range(len(token) - n + 1)]
     t = f"^{token}$"
@@ -97,7 +113,7 @@ def ngrams(token: str) -> list[str]:
 
 def _clean(t: str) -> str:
     """Text with blanks over what has no language."""
-    if not _MAY_AT.search(t) or not _MAY_ADDRESS.search(t):
+    if not any([x in t for x in _ADDRESS_MARKS]) and not (_MAY_AT.search(t) and _MAY_ADDRESS.search(t)):
         return t
     out, at = [], 0
     while m := _IN_ADDRESS.search(t, at):  # between addresses only what may begin one is read
@@ -124,7 +140,7 @@ def _clause_ends(t: str) -> list[tuple[int, int]]:
                 at += 1
             while at < n and t[at] in _CLOSING:
                 at += 1
-            if _BEHIND.match(t, at):
+            if at < n and _BEHIND[t[at]]:
                 out.append((first, at))
         elif mark != "/":
             while at < n and t[at] in "\r\n":
@@ -170,7 +186,7 @@ class GramCounter:
         tokens, once, ids = set(_tokens(text or "")), {}, self.ids
         for t in tokens.difference(kept):
             # runs without blanks hardly recur
-            (once if _DENSE.match(t) else kept)[t] = np.array([ids.setdefault(g, len(ids)) for g in ngrams(t)], np.int64)
+            (once if _UNSPACED[t[0]] else kept)[t] = np.array([ids.setdefault(g, len(ids)) for g in ngrams(t)], np.int64)
         tokens.difference_update(once)
         found = [*map(kept.__getitem__, tokens), *once.values()]
         n = sum(map(len, found))
@@ -227,10 +243,10 @@ class LanguageFilters:
         known = self.known
         if len(known) > KEPT:
             known.clear()
-        fresh = [g for g in dict.fromkeys(grams) if g not in known]
+        fresh = list(set(grams).difference(known))
         if fresh:
             known.update(zip(fresh, np.bitwise_and.reduce(self.rows[_places(fresh)], axis=1).tolist()))
-        return np.array([known[g] for g in grams], np.uint16)
+        return np.array([*map(known.__getitem__, grams)], np.uint16)
 
     def __getstate__(self):
         return self.rows, self.false
@@ -268,11 +284,10 @@ class LanguageReader:
         self.kept.update(zip(new, range(first, first + len(new))))
 
     def rows(self, tokens: list[str]) -> list[int]:
-        known = self.kept
-        fresh = {t for t in tokens if t not in known}
+        fresh = set(tokens).difference(self.kept)
         if fresh:
             self.add(fresh)
-        return [known[t] for t in tokens]
+        return [*map(self.kept.__getitem__, tokens)]
 
     @staticmethod
     def lowered(counts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -497,7 +512,7 @@ def fit(docs: DataFrame, text_col: str = "raw_text", lang_col: str = "lang") ->
     first = docs.sparkSession.sparkContext.broadcast(filters_of(counts))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, c = LanguageReader(first.value), GramCounter()
+        reader, c = _reader(first.value, None), GramCounter()
         for b in batches:
             codes, texts = (x.to_pylist() for x in b.columns)
             for code, text, (path, _) in zip(codes, texts, reader.paths(texts)):

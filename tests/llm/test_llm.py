@@ -376,6 +376,58 @@ def test_a_line_is_encoded_once_for_all_its_writings(costs, monkeypatch):
     assert seen == [line]
 
 
+def test_repairs_are_ruled_out_before_they_are_tried(costs, monkeypatch):
+    rng, r = random.Random(5), encoding.Repairer(costs)
+    texts = [t for _, t in CLEAN] + [x.encode(b, "ignore").decode(a, "ignore") for _, x in CLEAN for b, a in (("utf-8", "cp1252"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("gb18030", "cp1252"), ("cp932", "mac_roman"), ("euc_jp", "gb18030"))]
+    letters = "aZ .—«»éÃ©Â€ŸдЖЁїقلكไทย한국日本語ｱ\x85\U000f00c3\U000f0083"
+    texts += ["".join(rng.choices(letters, k=rng.randrange(1, 120))) for _ in range(300)] + ["".join(rng.choices("ab —«é", k=rng.randrange(1, 9))) for _ in range(300)]
+
+    def decoded(b, p, raw):
+        new = raw.decode(b, "replace")
+        return new if new.count("\ufffd") <= 0.05 * len(new) and encoding._letters_changed(p, new, False) else None
+
+    for t in texts:
+        assert r.swapped.changing(t) == [k for k, (_, run) in enumerate(r.other_pieces) if run(t) is not None]
+        for w in t.split():
+            found = []
+            for a in encoding.UTF8_READ_AS:
+                stood = w.translate(encoding._ASCII | r._to_byte(a))
+                found.append(encoding._SEQUENCE.search(stood) is not None)
+                assert found[-1] == (r._sequence(a).search(w) is not None)
+            assert r.sequence.search(w) or not any(found)
+        for (b, a), (_, run) in zip(encoding.WIDE, r.lines):
+            if a in encoding.WIDE_READ:
+                try:
+                    assert run(t) == decoded(b, t, t.encode(a))
+                except UnicodeEncodeError:
+                    assert run(t) is None
+            else:
+                table = {ord(c): k for k, c in encoding._table(a).items()}
+                if a.startswith("cp125"):
+                    table = {k: k for k in range(0x80, 0xA0)} | table
+                table |= encoding._ASCII
+                runs = regex.split("([\\x20-\\x7e" + "".join(regex.escape(chr(c)) for c in table if c > 127) + "]+)", t)
+                new = [decoded(b, p, p.translate(table).encode("latin-1")) if k & 1 and not p.isascii() else None for k, p in enumerate(runs)]
+                assert run(t) == ("".join(n or p for n, p in zip(new, runs)) if any(new) else None)
+        cost = costs.of(t)
+        for most in (0.0, 0.3 * cost, cost - 1e-6, cost + 1e-6):
+            part = costs.of(t, most)
+            assert part > most if cost > most else part == pytest.approx(cost, abs=1e-9)
+
+    # a text of odd words that is as it was meant
+    text, tried = f"{CLEAN[4][1]} Жюри въезжает.", []
+    for runs in (r.words, r.other_pieces):
+        runs[:] = [(name, lambda t, run=run: (tried.append(t), run(t))[1]) for name, run in runs]
+    assert r.repair(text) == (text, []) and any(map(r._odd, text.split()))
+    assert len(tried) < 60  # 85 when odd words were tried in all readings and strange pieces in all swaps
+
+
+def test_what_a_task_learns_of_words_serves_the_next(costs):
+    assert encoding._repairer(costs) is encoding._repairer(costs)
+    other = encoding.CostModel({})
+    assert encoding._repairer(other).model is other and encoding._repairer(costs).model is costs
+
+
 def test_parts_with_other_than_ascii_characters():
     text = "Ünder … a. b… ऑ।\tc。d\r\nplain é. ."
     assert encoding._parts(encoding._WORD, text) == ["Ünder", "…", "b…", "ऑ।", "c。d", "é."]
